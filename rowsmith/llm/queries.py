@@ -6,6 +6,8 @@ import importlib
 
 #: Query names by module.
 NAMES = {
+    "op3_token_files": "token_files",
+    "op6_bpe": "bpe",
     "op9_packing": "packing",
 }
 
