@@ -6,6 +6,7 @@ import importlib
 
 #: Query names by module.
 NAMES = {
+    "op2_simhash": "simhash",
     "op3_token_files": "token_files",
     "op6_bpe": "bpe",
     "op8_fingerprints": "fingerprints",
