@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op2_simhash": "simhash",
     "op3_token_files": "token_files",
+    "op4_quality": "quality",
     "op6_bpe": "bpe",
     "op8_fingerprints": "fingerprints",
     "op9_packing": "packing",
