@@ -12,6 +12,7 @@ NAMES = {
     "op6_bpe": "bpe",
     "op8_fingerprints": "fingerprints",
     "op9_packing": "packing",
+    "op10_toxicity": "toxicity",
 }
 
 
