@@ -6,6 +6,7 @@ import importlib
 
 #: Query names by module.
 NAMES = {
+    "op1_language": "language",
     "op2_simhash": "simhash",
     "op3_token_files": "token_files",
     "op4_quality": "quality",
