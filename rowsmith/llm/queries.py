@@ -10,6 +10,7 @@ NAMES = {
     "op2_simhash": "simhash",
     "op3_token_files": "token_files",
     "op4_quality": "quality",
+    "op5_warc": "warc",
     "op6_bpe": "bpe",
     "op8_fingerprints": "fingerprints",
     "op9_packing": "packing",
@@ -22,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from rowsmith.llm.warc import OP5_SQL
+
+    return {"op5_warc": OP5_SQL}
