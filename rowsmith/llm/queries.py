@@ -12,6 +12,7 @@ NAMES = {
     "op4_quality": "quality",
     "op5_warc": "warc",
     "op6_bpe": "bpe",
+    "op7_substrings": "substrings",
     "op8_fingerprints": "fingerprints",
     "op9_packing": "packing",
     "op10_toxicity": "toxicity",
