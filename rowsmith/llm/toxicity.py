@@ -5,10 +5,10 @@ five letters of longer words; each is hashed (XXH64) to 22 bits.  A factorizatio
 the products of the terms' vectors, so that two terms may mean together what neither does alone.
 
 The labelled rows of the training folds are taken whole if they are at most TRAIN_ROWS; of more, those
-whose hashed doc_id is below the matching threshold are, about as many.  Only their hashed terms, never
-their texts, come to the driver.  Of the terms seen there at least five times, the FEATURES with the
+whose hashed doc_id is below the matching threshold are, about as many.  Of the terms seen there at least five times, the FEATURES with the
 strongest association with the label (the G test) get weights; the rest do not count, so a long text is not
-drowned by its ordinary words.  Weights are fitted by AdaGrad to the log loss, with both classes weighing
+drowned by its ordinary words.  They are counted on the executors; the driver gets the chosen terms, and of
+each training row its chosen terms' numbers.  Weights are fitted by AdaGrad to the log loss, with both classes weighing
 as they come.
 
 Null and empty texts have no terms and score the bias.  If there is nothing to learn from, or one class
@@ -22,11 +22,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from rowsmith.llm.common import bucket, column, documents, per_batch, texts
+from rowsmith.llm.common import bucket, column, discard, documents, per_batch, settle, texts
 
 HASH_BITS, STEMS = 22, (3, 4, 5)
 #: Least G statistic of a term with weights: chance reaches it about once in 10,000 terms.
@@ -94,39 +93,33 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def chosen(rows: list[list[int]], y: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """The terms most associated with the label, by the G statistic, ties by the smaller term."""
-    if not rows:
+def chosen(terms: DataFrame, total: int, positive: int, most: int = FEATURES) -> np.ndarray:
+    """The terms most associated with the label, by the G statistic; ties go to the smaller term.
+
+    terms has a row (term, toxic) for each document and term in it; only the chosen ones come to the driver.
+    """
+    if not 0 < positive < total:
         return np.zeros(0, np.int64)
-    flat = np.concatenate([np.array(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    label = np.repeat(y, [len(r) for r in rows])
-    terms, at = np.unique(flat, return_inverse=True)
-    n = np.bincount(at, minlength=len(terms)).astype(float)
-    k = np.bincount(at, weights=label, minlength=len(terms))
-    total, positive = len(y), y.sum()
+    seen = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= LEAST_SEEN)
+    share = positive / total
 
-    def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0)
+    def part(o: Column, e: Column) -> Column:
+        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
 
-    share = positive / total
+    n, k = F.col("n"), F.col("k")
     g = part(k, n * share) + part(n - k, n * (1 - share)) + part(positive - k, (total - n) * share) + part(total - n - positive + k, (total - n) * (1 - share))
-    g[n < LEAST_SEEN] = -1
-    order = np.lexsort((terms, -g))[:most]
-    return np.sort(terms[order[g[order] > LEAST_G]])
+    best = seen.withColumn("g", g).where(F.col("g") > LEAST_G).orderBy(F.desc("g"), "term").limit(most)
+    return np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)
 
 
-def fit(rows: list[list[int]], y: np.ndarray, factors: int = FACTORS) -> Machine:
-    """Fit to term lists and 0/1 labels; the same input gives the same machine."""
+def fit(x: list[np.ndarray], y: np.ndarray, kept: np.ndarray, factors: int = FACTORS) -> Machine:
+    """Fit to the numbers of kept terms in each document and 0/1 labels; the same input gives the same machine."""
     rng = np.random.default_rng(SEED)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    bias = float(np.log(share / (1 - share)))
-    kept = chosen(rows, y) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
-    m = len(kept)
+    bias, m = float(np.log(share / (1 - share))), len(kept)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
     if not m:
         return Machine(kept, bias, w, v)
-    number = {int(t): i for i, t in enumerate(kept)}
-    x = [np.array([number[t] for t in r if t in number], np.int64) for r in rows]
     gb, gw, gv = 1e-8, np.full(m, 1e-8), np.full((m, factors), 1e-8)
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
@@ -165,14 +158,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
     texts_of = docs.select("doc_id", "text").join(F.broadcast(known) if n <= 4 * rows else known, "doc_id")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = terms_of(None)
-        found = pa.array([np.array(code.of(t), "<u4").tobytes() for t in texts(batch)], pa.binary())
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), found], names=["doc_id", "toxic", "terms"])
+        found = [code.of(t) for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
+
+    found = settle(per_batch(texts_of.select("doc_id", "text", "toxic"), find, "doc_id long, toxic int, terms array<int>"), "terms")
+    total, positive = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    kept = chosen(found.select("toxic", F.explode("terms").alias("term")), total, positive)
+
+    def number(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = column(batch, "terms").to_pylist()
+        packed = [np.flatnonzero(np.isin(kept, np.array(t, np.int64))).astype("<u2").tobytes() for t in lists]
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "x"])
 
-    got = per_batch(texts_of.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, terms binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
-    return fit([np.frombuffer(r["terms"], "<u4").tolist() for r in got], np.array([r["toxic"] for r in got], float))
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in per_batch(found, number, "doc_id long, toxic int, x binary").collect())
+    discard(docs.sparkSession, found)
+    return fit([np.frombuffer(x, "<u2").astype(np.int64) for _, _, x in got], np.array([y for _, y, _ in got], float), kept)
 
 
 _TERMS: dict = {}
@@ -186,26 +188,34 @@ def terms_of(key: str | None, kept: dict[int, int] | None = None) -> Terms:
     return _TERMS[key]
 
 
-def scored(docs: DataFrame, machine: Machine, *columns: str) -> DataFrame:
-    """The given columns and score of every row."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(machine)  # bounded by FEATURES and FACTORS
-    key = f"{id(machine)}-{len(machine.features)}-{machine.bias}"
+def _scores(docs: DataFrame, machine: Machine):
+    """A function from a batch of docs to its texts' scores."""
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by FEATURES and FACTORS
+    key = f"{len(machine.features)}-{machine.bias}-{machine.weights.sum()}"
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def of(batch: pa.RecordBatch) -> np.ndarray:
         m = model.value
         code = terms_of(key, {int(t): i for i, t in enumerate(m.features)} if key not in _TERMS else None)
-        score = pa.array([m.score(code.of(t)) for t in texts(batch, "_text")], pa.float64())
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], score], names=[*batch.schema.names[1:], "_score"])
+        return np.array([m.score(code.of(t)) for t in texts(batch)])
+
+    return of
+
+
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """doc_id and score of every row."""
+    scores = _scores(docs, machine)
+    run = lambda batch: pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores(batch))], names=["doc_id", "score"])
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, score double")
+
 
-    df = docs.select(F.col("text").alias("_text"), *columns)
-    schema = df.schema
-    out = StructType(schema.fields[1:]).add("_score", "double")
-    return per_batch(df, run, out)
+def harmless(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    scores = _scores(docs, machine)
+    return per_batch(docs, lambda batch: batch.filter(pa.array(scores(batch) < threshold)), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = scored(docs, machine, "doc_id")
-    return rows.select("doc_id", F.coalesce(bucket("doc_id", FOLDS) == HELD_FOLD, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = scored(docs, machine)
+    return rows.select("doc_id", F.coalesce(bucket("doc_id", FOLDS) == HELD_FOLD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
