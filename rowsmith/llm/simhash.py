@@ -126,5 +126,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs whose doc_id is the least of their component: one document of each group.
+
+    Where a doc_id is repeated, one of its rows stays; rows without one stay if their component has none.
+    """
+    found = settle(near_duplicates(docs, shingle).select("doc_id", "component_id"), "components")
+    ids = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
