@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space that separates words: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -88,18 +90,34 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over one batch at a time, in batches that stay small when texts are long."""
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, limit: int | None = None) -> DataFrame:
+    """mapInArrow over one batch at a time, in batches that stay small when texts are long.
+
+    limit: about so many bytes of the column `text` at once, but for one longer text.
+    """
     bounded(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for part in slices(batch, limit) if limit else [batch]:
+                if part.num_rows:
+                    yield fn(part)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(column(batch, "text")), 0).to_numpy(zero_copy_only=False)
+    lo = size = 0
+    for k, n in enumerate(sizes):
+        if size and size + n > limit:
+            yield batch.slice(lo, k - lo)
+            lo, size = k, 0
+        size += int(n)
+    yield batch.slice(lo)
+
+
 def bounded(spark: SparkSession) -> None:
     """Bound the Arrow batches sent to Python by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

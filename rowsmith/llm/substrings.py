@@ -37,6 +37,8 @@ from rowsmith.llm.common import column, discard, documents, per_batch, settle, s
 from rowsmith.llm.recompression import Spans, anchors, hashes
 
 WINDOW = 35
+#: Bytes of text that a task compresses at once.
+AT_ONCE = 1 << 20
 KEY = ["doc_id", "th"]
 
 
@@ -76,7 +78,7 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
         cols = [pa.array(name[begins].view(np.int64)), pa.array(s.view(np.int64)), column(batch, "doc_id").take(of), column(batch, "th").take(of), pa.array((lo - at[doc[begins]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.where(in_run, n, 1).astype(np.int32))]
         return pa.RecordBatch.from_arrays(cols, names=["a", "s", "doc_id", "th", "w0", "n", "weight"])
 
-    return per_batch(docs.select(*KEY, "text"), run, "a long, s long, doc_id long, th int, w0 int, n int, weight int")
+    return per_batch(docs.select(*KEY, "text"), run, "a long, s long, doc_id long, th int, w0 int, n int, weight int", AT_ONCE)
 
 
 def opened(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
@@ -96,7 +98,7 @@ def opened(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
         cols = [pa.array(a[k]), pa.array(h.view(np.int64)), column(batch, "doc_id").take(row), column(batch, "th").take(row), pa.array(w.astype(np.int32)), pa.array(c[k])]
         return pa.RecordBatch.from_arrays(cols, names=["a", "h", "doc_id", "th", "w0", "c"])
 
-    return per_batch(with_key(docs, by_doc, "inner").select("doc_id", "th", "text", "spans"), run, "a long, h long, doc_id long, th int, w0 int, c long")
+    return per_batch(with_key(docs, by_doc, "inner").select("doc_id", "th", "text", "spans"), run, "a long, h long, doc_id long, th int, w0 int, c long", AT_ONCE)
 
 
 def with_key(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
