@@ -42,12 +42,14 @@ class Packer:
     def level(self, n: int) -> int:
         """The fill level that takes an item of n ids at the smallest sum of squares; 0 is a new window."""
         c, w = self.counts, self.window
+        if n >= w:
+            return 0
         # moving a window from h to h+n: (c[h]-1)^2 - c[h]^2 + (c[h+n]+1)^2 - c[h+n]^2 = 2 (c[h+n] - c[h] + 1); full ones do not count
         gain = 2 * (c[n:w] - c[: w - n] + 1)
-        gain[0] = 2 * c[n] + 1 if n < w else 0
+        gain[0] = 2 * c[n] + 1
         gain[1:][c[1 : w - n] == 0] = np.iinfo(np.int64).max
-        best = int(gain.argmin()) if w > n else 0
-        if n < w and c[w - n] > 0 and 1 - 2 * c[w - n] <= gain[best]:
+        best = int(gain.argmin())
+        if c[w - n] > 0 and 1 - 2 * c[w - n] <= gain[best]:
             return w - n
         return best
 
