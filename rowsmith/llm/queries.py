@@ -24,6 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL where it can express a query; tests hold the others against brute force."""
+    from rowsmith.llm.substrings import OP7_SQL
     from rowsmith.llm.warc import OP5_SQL
 
-    return {"op5_warc": OP5_SQL}
+    return {"op5_warc": OP5_SQL, "op7_substrings": OP7_SQL}

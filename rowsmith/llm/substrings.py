@@ -189,3 +189,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM p),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM g) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM d, generate_series(0, 34) AS t(o)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
