@@ -13,6 +13,8 @@ ZERO_WIDTH = "​‌‍﻿"
 #: Joins the parts of a composite key or of headers.
 SEPARATOR = "\x1f"
 WHITE = r"\p{IsWhite_Space}"
+# The characters of that class.
+WHITE_CHARACTERS = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Parts of column names that hint at personal data.
 PERSONAL = [
@@ -29,7 +31,7 @@ def normalize_invisible(s: Column) -> Column:
 
 def trimmed(s: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(s, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(s, F.lit(WHITE_CHARACTERS))
 
 
 def normalize_key(s: Column) -> Column:

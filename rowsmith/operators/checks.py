@@ -124,7 +124,7 @@ class Parser:
                 self.next("(")
                 out = self.conjunction()
                 self.next(")")
-                if self.peek() in ("", "AND", ")"):
+                if self.peek() in ("", "AND", ")") or (self.peek(), self.peek(1)) == ("NOT", "VALID"):
                     return out
             except Unverifiable:
                 pass

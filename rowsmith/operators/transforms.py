@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +21,30 @@ LAYOUTS = [
 ]
 
 
+#: What the letters of a layout look like.
+SHAPES = {"yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}+", "MM": r"\d{2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "H": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "XXX": r"(?:Z|[+-]\d{2}:\d{2})"}
+
+
+def shape(layout: str) -> str | None:
+    """A pattern that every text of a layout has; none if the layout has other letters."""
+    out = ["^"]
+    for quoted, optional, letters, sign in re.findall(r"'([^']*)'|\[\.(S+)\]|([A-Za-z]+)|(.)", layout):
+        if letters and letters not in SHAPES:
+            return None
+        out.append(SHAPES[letters] if letters else r"(?:\.\d+)?" if optional else re.escape(quoted or sign))
+    return "".join([*out, "$"])
+
+
 def parsed(s: Column, layouts: list[str]) -> Column:
-    """The first layout's reading as a naive timestamp, or null."""
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(x)).cast("timestamp_ntz") for x in layouts])
+    """The first layout's reading as a naive timestamp, or null.
+
+    A layout is tried only on texts of its shape: a failed reading costs far more than a pattern.
+    """
+    tried = []
+    for x in layouts:
+        ts = F.try_to_timestamp(s, F.lit(x)).cast("timestamp_ntz")
+        tried.append(F.when(s.rlike(p), ts) if (p := shape(x)) else ts)
+    return F.coalesce(*tried)
 
 
 def mapped(s: Column, words: dict[str, str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.functions import text as T
-from rowsmith.functions.cells import DATE, EMPTY, ERROR, assembled, recovered, shown, to_number
+from rowsmith.functions.cells import SIGNIFICANT, DATE, EMPTY, ERROR, assembled, recovered, shown, to_number
 from rowsmith.operators import keys
 from rowsmith.operators.checks import Check, compile_checks
 from rowsmith.operators.coerce import Options, coerce, enum_hint
@@ -109,7 +109,7 @@ def evaluated(sheet: Sheet, plan: Plan, options: Options = Options()) -> DataFra
     df = df.select("*", *[T.normalize_invisible(F.col(f"r_{i}")).alias(f"n_{i}") for i in n])
     df = df.select("*", *[T.trimmed(F.col(f"n_{i}")).alias(f"t_{i}") for i in n])
     df = df.select("*", *[to_number(F.col(f"t_{i}")).alias(f"a_{i}") for i in n])
-    df = df.select("*", *[recovered(F.col(f"a_{i}")).alias(f"g_{i}") for i in n])
+    df = df.select("*", *[F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")).alias(f"g_{i}") for i in n])
     df = df.select("row_num", *[settled(assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904)).alias(f"x_{i}") for i in n])
     blank = reduce(lambda a, b: a & b, [F.col(f"x_{i}.kind") == EMPTY for i in n], F.lit(True))
     df = df.select("row_num", blank.alias("blank"), *[F.col(f"x_{i}") for i in n], *[settled(apply(F.col(f"x_{i}"), c.mapping.transform, c.column.family)).alias(f"p_{i}") for i, c in enumerate(plan.columns)])
