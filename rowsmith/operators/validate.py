@@ -12,7 +12,7 @@ from rowsmith.functions import text as T
 from rowsmith.functions.cells import SIGNIFICANT, DATE, EMPTY, ERROR, assembled, recovered, shown, to_number
 from rowsmith.operators import keys
 from rowsmith.operators.checks import Check, compile_checks
-from rowsmith.operators.coerce import Options, coerce, enum_hint
+from rowsmith.operators.coerce import Options, coerce, enum_hint, key_of
 from rowsmith.operators.transforms import apply
 from rowsmith.plans.model import TEMPORAL, Plan, PlanColumn, Problem, Table, check, uniqueness_rules
 
@@ -21,6 +21,7 @@ ISSUE = (
     "db_column string, value string, message string, hint string"
 )
 NAMES = [f.split()[0] for f in ISSUE.split(", ")]
+JIT_LIMIT = 8000
 MAX_ISSUES, MISALIGNED = 10_000, 0.30
 SAMPLE_ALL, HEAD, TAIL, MIDDLE = 1000, 200, 200, 600
 
@@ -103,6 +104,8 @@ def settled(c: Column) -> Column:
 
 def evaluated(sheet: Sheet, plan: Plan, options: Options = Options()) -> DataFrame:
     """row_num, blank, and for each planned column its applied cell p_<i> and coerced value v_<i>, each worked out once."""
+    # a generated method of more bytecode is never compiled by the JVM, and would be interpreted for every row
+    sheet.rows.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
     n = range(len(plan.columns))
     # one projection for each step: what several branches of a later step use is a column, not a repeated expression
     df = sheet.rows.select("row_num", *[F.coalesce(F.col(f"c{c.mapping.index}").cast("string"), F.lit("")).alias(f"r_{i}") for i, c in enumerate(plan.columns)], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in enumerate(plan.columns)])
@@ -113,12 +116,14 @@ def evaluated(sheet: Sheet, plan: Plan, options: Options = Options()) -> DataFra
     df = df.select("row_num", *[settled(assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904)).alias(f"x_{i}") for i in n])
     blank = reduce(lambda a, b: a & b, [F.col(f"x_{i}.kind") == EMPTY for i in n], F.lit(True))
     df = df.select("row_num", blank.alias("blank"), *[F.col(f"x_{i}") for i in n], *[settled(apply(F.col(f"x_{i}"), c.mapping.transform, c.column.family)).alias(f"p_{i}") for i, c in enumerate(plan.columns)])
-    return df.select("*", *[settled(valued(F.col(f"p_{i}"), c, options)).alias(f"v_{i}") for i, c in enumerate(plan.columns)])
+    kept = df.columns
+    df = df.select("*", *[key_of(F.col(f"p_{i}")).alias(f"k_{i}") for i in n])
+    return df.select(*kept, *[settled(valued(F.col(f"p_{i}"), c, options, F.col(f"k_{i}"))).alias(f"v_{i}") for i, c in enumerate(plan.columns)])
 
 
-def valued(applied: Column, c: PlanColumn, options: Options) -> Column:
+def valued(applied: Column, c: PlanColumn, options: Options, key: Column | None = None) -> Column:
     """The coerced value, or E201 where the column's date layouts did not read the text."""
-    out = coerce(applied, c.column, options)
+    out = coerce(applied, c.column, options, key)
     if c.column.family not in TEMPORAL:
         return out
     failed = applied["date_failed"] & ~applied["kind"].isin(DATE, EMPTY, ERROR)
