@@ -18,7 +18,7 @@ MOST_ROUNDS = 100
 
 def _least_neighbour(edges: DataFrame, u: str, v: str) -> DataFrame:
     """u, v and m, the least of u and its neighbours, for each row."""
-    least = edges.groupBy(F.col(u).alias("k")).agg(F.min(v).alias("m"))
+    least = settle(edges.groupBy(F.col(u).alias("k")).agg(F.min(v).alias("m")), "least")
     return edges.join(least, edges[u] == least["k"]).select(F.col(u).alias("u"), F.col(v).alias("v"), F.least(u, "m").alias("m"))
 
 

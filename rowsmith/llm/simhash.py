@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     # the least doc_id of each component, by way of its root
     rooted = vertices.join(joined, vertices["fp"] == joined["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = settle(rooted.join(least, "root").select("fp", "component_id"), "named")
-    discard(spark, vertices, rooted)
+    discard(spark, vertices, rooted, least)
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
