@@ -120,12 +120,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copied = some.join(spans.where("c > 1").select("a", "s"), ["a", "s"], "left_semi").select(*KEY, "w0", "n")
     copied = settle(copied, "copied")
     discard(spark, some)
-    several = spans.groupBy("a").count().where("count > 1").select("a")
+    several = settle(spans.groupBy("a").count().where("count > 1").select("a"), "several")  # a shuffle of its own, so the join can be split
     to_open = spans.join(several, "a", "left_semi").select("a", "one.*", "c")
     to_open = settle(to_open, "to_open")
-    del some, several
+    del some
     windows = settle(opened(docs, to_open, window), "windows")
-    discard(spark, spans, to_open)
+    discard(spark, spans, to_open, several)
     del spans, to_open
     sweep(spark)
     often = windows.groupBy("a", "h").agg(F.sum("c").alias("c")).where("c > 1").select("a", "h")
