@@ -117,21 +117,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD)
     vertices = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
     joined = components(links(vertices.select("fp"), crowd))
     sweep(spark)
-    # the least doc_id of each component, by way of its root
+    return fps.join(named(vertices, joined), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def named(vertices: DataFrame, joined: DataFrame) -> DataFrame:
+    """fp and component_id of vertices (fp, least): the least doc_id of each component, by way of its root in joined."""
+    spark = vertices.sparkSession
     rooted = vertices.join(joined, vertices["fp"] == joined["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted, "rooted")
     least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = settle(rooted.join(least, "root").select("fp", "component_id"), "named")
+    found = settle(rooted.join(least, "root").select("fp", "component_id"), "named")
     discard(spark, vertices, rooted, least)
-    return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component: one document of each group.
+    """The rows of docs whose doc_id is the least of their component: one document of each group."""
+    return one_of_each(docs, near_duplicates(docs, shingle))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the least of their component, groups being doc_id and component_id of all rows.
 
     Where a doc_id is repeated, one of its rows stays; rows without one stay if their component has none.
     """
-    found = settle(near_duplicates(docs, shingle).select("doc_id", "component_id"), "components")
+    found = settle(groups.select("doc_id", "component_id"), "components")
     ids = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")

@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rowsmith.llm import bpe, components, fingerprints, language, packing, quality, recompression, simhash, substrings, token_files, toxicity, warc
+import corpus_pipeline
+from rowsmith.llm import bpe, components, fingerprints, jaccard, language, packing, quality, recompression, simhash, substrings, token_files, toxicity, warc
 from rowsmith.llm.common import shared_dir
 from rowsmith.llm.tokenizing import default_vocabulary, encoder
 
@@ -403,3 +404,55 @@ def test_machine_learns_pairs():
     x = [np.array([k for k, on in enumerate(p) if on], np.int64) for p in zip(a, b)]
     m = toxicity.fit(x, (a & b).astype(float), np.array([10, 20]))
     assert m.score([0, 1]) > 0.9 and max(m.score([]), m.score([0]), m.score([1])) < 0.2
+
+
+def brute_shingles(t):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def edits(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"edit{rng.random()}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    """Copies of similarities on both sides of 0.8, one group with many members, short, empty and repeated rows."""
+    rng, out = random.Random(5), [(1, None), (2, ""), (3, " \n"), (None, "no id here"), (None, None), (4, "three short words"), (5, "Three  short WORDS"), (6, "three short word")]
+    for g in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 900]))]
+        out += [(100 + 10 * g + k, edits(rng, words, len(words) * k // 80)) for k in range(6)]
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    out += [(1000 + k, edits(rng, words, rng.randrange(8))) for k in range(150)]
+    return [*out, out[30], (out[30][0], out[40][1])]
+
+
+def test_pipeline_near_duplicates_by_jaccard(spark, near_rows):
+    docs = spark.createDataFrame(near_rows, "doc_id long, text string").repartition(5)
+    found = [(d, brute_shingles(t)) for d, t in near_rows]
+    nodes = sorted({s for _, s in found}, key=sorted)
+    place = {s: i for i, s in enumerate(nodes)}
+    pairs = [(i, j) for i, a in enumerate(nodes) for j in range(i) if 5 * len(a & (b := nodes[j])) >= 4 * len(a | b)]
+    root = groups(pairs, range(len(nodes)))
+    least = {}
+    for d, s in found:
+        if d is not None:
+            least[root[place[s]]] = min(least.get(root[place[s]], d), d)
+    want = collections.Counter((d, least.get(root[place[s]])) for d, s in found)
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == want
+    kept = corpus_pipeline.near_deduplicated(spark, docs, "")
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(set(least.values()))
+    assert jaccard.representatives(docs.limit(0)).count() == 0
+
+
+def test_chance_of_a_missed_candidate():
+    assert (1 - 0.8**jaccard.ROWS) ** jaccard.BANDS < 1e-8
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(200):
+        a, b, c = np.split(rng.integers(0, 1 << 64, 200, np.uint64), [150, 175])
+        met += bool((jaccard.bands(np.concatenate([a, b])) == jaccard.bands(np.concatenate([a, c]))).any())
+    assert met == 200  # 150 of 200 hashes are shared: 0.75
