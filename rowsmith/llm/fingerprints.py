@@ -8,8 +8,8 @@ bits.  A fingerprint is the sum of its pieces' vectors, the lanes modulo 2^16 an
 one vector.  Equal multisets of pieces, so equal texts, have equal fingerprints; by the wide lanes
 different ones do not, but for a chance of about 2^-128.
 
-The likeness of two fingerprints is 1 if equal, else the cosine of their lanes (at least 0, below 1): the
-sum over the lanes of products estimates how many pieces both have, with a standard error near 1/11.
+The likeness of two texts is 1 if their sums are equal, else the cosine of the sums' lanes before these are
+reduced (at least 0, below 1), as lanes of very many equal pieces would change sign: the sum over the lanes of products estimates how many pieces both have, with a standard error near 1/11.
 An empty text has no piece, the zero vector and likeness 0 to any other.
 
 Null texts are empty.  Rows of one doc_id are taken in the order of their texts; null doc_ids come last in
@@ -64,11 +64,6 @@ def vector(parts: list[bytes]) -> np.ndarray:
     return out
 
 
-def reduced(v: np.ndarray) -> np.ndarray:
-    """The lanes modulo 2^16, as signed numbers."""
-    return np.concatenate([v[:LANES].astype(np.int16).astype(np.int64), v[LANES:]])
-
-
 def combine(v: np.ndarray, added: list[bytes] = [], removed: list[bytes] = []) -> np.ndarray:  # noqa: B006
     """The vector of a text after pieces were added and removed."""
     with np.errstate(over="ignore"):
@@ -76,6 +71,7 @@ def combine(v: np.ndarray, added: list[bytes] = [], removed: list[bytes] = []) -
 
 
 def text_of(v: np.ndarray) -> str:
+    """The fingerprint of a sum, its lanes taken modulo 2^16."""
     return v[:LANES].astype(">i2").tobytes().hex() + v[LANES:].astype(">i8").tobytes().hex()
 
 
@@ -88,7 +84,8 @@ def likeness(v: np.ndarray, w: np.ndarray) -> float:
 
 
 def fingerprint(text: str | None) -> np.ndarray:
-    return reduced(vector(pieces((text or "").encode())))
+    """The sum itself, whose lanes are not reduced."""
+    return vector(pieces((text or "").encode()))
 
 
 def edited(text: str, following: str) -> str:

@@ -456,3 +456,9 @@ def test_chance_of_a_missed_candidate():
         a, b, c = np.split(rng.integers(0, 1 << 64, 200, np.uint64), [150, 175])
         met += bool((jaccard.bands(np.concatenate([a, b])) == jaccard.bands(np.concatenate([a, c]))).any())
     assert met == 200  # 150 of 200 hashes are shared: 0.75
+
+
+def test_likeness_of_very_many_equal_lines(spark):
+    docs = spark.createDataFrame([(2, "the same line\n" * 40_000), (1, "other words")], "doc_id long, text string")
+    row = fingerprints.fingerprints(docs).where("doc_id = 2").first()
+    assert row["near_edited"] > 0.99
