@@ -31,6 +31,7 @@ class Sheet:
     """Rows of row_num and one raw text column c0, c1, ... for each header.
 
     dates: places read as dates; where the rows have a column d0, d1, ... too, only cells that it marks are.
+    problems: what the source has to say of the sheet; validate() reports it.
     """
 
     rows: DataFrame
@@ -38,6 +39,7 @@ class Sheet:
     dates: frozenset[int] = frozenset()
     date1904: bool = False
     name: str = "sheet"
+    problems: tuple[Problem, ...] = ()
 
     def marked(self, index: int) -> Column:
         if index not in self.dates:
@@ -287,7 +289,7 @@ def validate(sheet: Sheet, plan: Plan, settings: Settings = Settings(), target:
     mappings = [c.mapping for c in plan.columns]
     status = check(mappings, plan.table, sheet.headers, plan.strategy)
     checks, beyond = compile_checks(plan.table)
-    found = [*problems, *status.problems]
+    found = [*problems, *sheet.problems, *status.problems]
     if not plan.columns:
         found.append(Problem("E102", "nothing is mapped", "map a sheet column"))
     if not plan.table.primary_key:

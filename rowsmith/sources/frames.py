@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rowsmith.functions.cells import EMPTY, text_of
 from rowsmith.operators.validate import Sheet
 from rowsmith.plans.headers import detect_header, header_names
-from rowsmith.sources.xlsx import Workbook, count_rows, read_sheet, typed_rows
+from rowsmith.plans.model import Problem
+from rowsmith.sources.xlsx import FORMULA_ROWS, Workbook, count_rows, formula_gaps, read_sheet, typed_rows
 
 
 def from_frame(df: DataFrame, row_num: Column, columns: list[str] | None = None, name: str = "sheet") -> Sheet:
@@ -22,7 +23,10 @@ def from_frame(df: DataFrame, row_num: Column, columns: list[str] | None = None,
 
 
 def from_workbook(spark, path: str, sheet: str = "", header_row: int | None = None, data_start: int | None = None) -> Sheet:
-    """A workbook's sheet: the header row is guessed if not given.  Dates are told by each cell's own style."""
+    """A workbook's sheet: the header row is guessed if not given.  Dates are told by each cell's own style.
+
+    Formulas without a stored value in the first rows, whose cells read as blanks, are a problem of the sheet (W204).
+    """
     book = Workbook.open(path)
     df = read_sheet(spark, path, sheet)
     typed = typed_rows(df, book.date1904)
@@ -34,4 +38,12 @@ def from_workbook(spark, path: str, sheet: str = "", header_row: int | None = No
     start, (_, last) = data_start or header_row + 1, count_rows(df)
     body = df.where(F.col("row_num").between(start, last))
     cells = [F.get("cells", F.lit(i)) for i in range(len(headers))]
-    return Sheet(body.select("row_num", *[c["raw"].alias(f"c{i}") for i, c in enumerate(cells)], *[c["is_date"].alias(f"d{i}") for i, c in enumerate(cells)]), headers, frozenset(range(len(headers))), book.date1904, sheet or next(iter(book.sheets)))
+    return Sheet(body.select("row_num", *[c["raw"].alias(f"c{i}") for i, c in enumerate(cells)], *[c["is_date"].alias(f"d{i}") for i, c in enumerate(cells)]), headers, frozenset(range(len(headers))), book.date1904, sheet or next(iter(book.sheets)), uncalculated(df, start, headers))
+
+
+def uncalculated(df: DataFrame, start: int, headers: list[str]) -> tuple[Problem, ...]:
+    n, first = formula_gaps(df, start, len(headers)).agg(F.count("*"), F.min(F.struct("row_num", "column", "ref"))).first()
+    if not n:
+        return ()
+    message = f"{n} formula cells in the first {FORMULA_ROWS} rows have no stored value, the first is {first['ref']}"
+    return (Problem("W204", message, "recalculate and save the workbook: these cells are read as blanks", headers[first["column"]], severity="warning"),)

@@ -1,3 +1,5 @@
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +189,21 @@ def test_stream_has_no_state(spark, tmp_path):
     q = issues.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["code"] for r in spark.table("found").collect()) == ["E201", "E306"]
+
+
+def test_formulas_without_a_stored_value_are_told(spark, tmp_path):
+    main, path = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', str(tmp_path / "gaps.xlsx")
+    rel = "http://schemas.openxmlformats.org"
+    text = lambda ref, t: f'<c r="{ref}" t="inlineStr"><is><t>{t}</t></is></c>'
+    cells = [text("A1", "name") + text("B1", "note"), text("A2", "x") + '<c r="B2"><f>A2&amp;"y"</f><v></v></c>', text("A3", "z") + '<c r="B3"><f>1+1</f><v>2</v></c>', text("A4", "w") + '<c r="B4"><f>A4</f></c>']
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rel}/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>" + "".join(f'<row r="{i}">{c}</row>' for i, c in enumerate(cells, 1)) + "</sheetData></worksheet>")
+    sheet = from_workbook(spark, path, header_row=1)
+    assert len(sheet.problems) == 1 and "2 formula cells" in sheet.problems[0].message and "B2" in sheet.problems[0].message
+    s = Session(spark)
+    s.use_table(Table("public", "t", (Column("name", "text"), Column("note", "text"))))
+    s.open(path)
+    s.auto_match()
+    assert s.validate().by_code["W204"] == 1
