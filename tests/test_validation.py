@@ -1,6 +1,8 @@
+import struct
 import zipfile
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rowsmith.operators import render, validate
@@ -207,3 +209,16 @@ def test_formulas_without_a_stored_value_are_told(spark, tmp_path):
     s.open(path)
     s.auto_match()
     assert s.validate().by_code["W204"] == 1
+
+
+def test_sample_has_its_middle(spark):
+    first, last = 11, 5010
+    inner = 5000 - validate.HEAD - validate.TAIL
+
+    def drawn(row):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 5000), xxhash.xxh64_intdigest(struct.pack("<q", row), 42))
+        return (h - (h >> 63 << 64)) % inner < validate.MIDDLE
+
+    want = [r for r in range(first, last + 1) if r < first + validate.HEAD or r > last - validate.TAIL or drawn(r)]
+    got = sorted(r["row_num"] for r in validate.sampled(spark.range(first, last + 1).withColumnRenamed("id", "row_num"), first, last).collect())
+    assert got == want and abs(len(want) - 1000) < 100
