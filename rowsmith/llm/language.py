@@ -2,7 +2,9 @@
 
 For each language a model of order 4 over lower-cased letters (all else is one blank) is kept in sorted
 arrays: per order the n-grams' keys with their interpolated log probabilities, and the contexts' keys with
-their back-off weights.  A key packs four 16-bit characters, so it is a hash without collisions; letters
+their back-off weights.  Below the single letters stands the uniform distribution over one alphabet that all
+languages share, with one unknown sign, so that every language's probabilities are of the same events and sum
+to one.  A key packs four 16-bit characters, so it is a hash without collisions; letters
 beyond U+FFFF share one sign.  A text gets the language of the lowest cross-entropy per character.
 
 The score is the probability that this is right, by a logistic curve in the margin to the next language
@@ -79,12 +81,16 @@ def suffix(keys: np.ndarray, n: int) -> np.ndarray:
     return keys & np.uint64((1 << 16 * n) - 1)
 
 
+def alphabet_size(keys: np.ndarray) -> int:
+    """The signs that n-grams of all languages end in, and an unknown one."""
+    return len(np.unique(suffix(keys, 1))) + 1
+
+
 class Model:
     """One language: sorted keys with values, for n-grams and contexts of each order."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        alphabet = len(np.unique(suffix(keys, 1))) + 1
-        self.unseen = float(np.log(1 / alphabet) + np.log(0.1))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, alphabet: int):
+        """alphabet: the number of signs that all languages share, an unknown one included."""
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         # counts by order: of tokens at the top, below it of distinct signs before
@@ -99,8 +105,9 @@ class Model:
             context, at = np.unique(k >> np.uint64(16), return_inverse=True)
             total, kinds = np.bincount(at, weights=c), np.bincount(at)
             rest = d * kinds / total
-            if n == 1:
+            if n == 1:  # what is held back goes to all signs alike, seen or not
                 lower = np.full(len(k), 1 / alphabet)
+                self.unseen = float(np.log(rest[0] / alphabet))
             else:
                 lk, lp = self.grams[-1]
                 lower = np.exp(lp[np.searchsorted(lk, suffix(k, n - 1))])
@@ -225,14 +232,14 @@ def fit_curve(m: np.ndarray, n: np.ndarray, right: np.ndarray, prior: np.ndarray
 
 
 def _sample(docs: DataFrame, folds: list[int], rows: int) -> DataFrame:
-    """About so many labelled rows of each language, from these folds, by a hash of doc_id."""
+    """About so many labelled rows of each language, from these folds, by a hash of doc_id and text, so that repeated ids are no more than others."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & bucket("doc_id", FOLDS).isin(folds))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return known.where("false")
     scale = 1 << 30
     limit = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(scale, int(scale * rows / n))))])
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.try_element_at(limit, "lang"))
+    return known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < F.try_element_at(limit, "lang"))
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
@@ -256,11 +263,11 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, calibration_rows: int = CALIB
     training = [f for f in range(FOLDS) if f not in (HELD_FOLD, CALIBRATION_FOLD)]
     counted = per_batch(_sample(docs, training, rows), count, "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    models = {}
+    models, alphabet = {}, alphabet_size(table["gram"].to_numpy(np.int64).view(np.uint64))
     for lang, part in table.groupby("lang"):
         keys = part["gram"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
-        models[lang] = Model(keys[order], part["n"].to_numpy()[order])
+        models[lang] = Model(keys[order], part["n"].to_numpy()[order], alphabet)
     names = sorted(models)
     found = Identifier(names, [models[x] for x in names])
     if names:

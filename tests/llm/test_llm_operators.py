@@ -365,17 +365,72 @@ def test_language(docs, rows, none):
     assert {r["lang_pred"] for r in language.identified(docs, language.train(none)).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    c = language.signs("the cat sat on the mat and the dog")
-    keys, counts = np.unique(language.grams(c), return_counts=True)
-    m = language.Model(keys, counts)
-    letters = np.unique(language.suffix(keys, 1))
-    for context in keys[:10] >> np.uint64(16):
-        p = np.exp(m.log_probabilities((context << np.uint64(16)) | letters))
-        assert 0.8 < p.sum() <= 1.0001
-    found = language.Identifier(["a"], [m])
-    again = np.concatenate([keys, keys[::-1], (keys + np.uint64(1))])
-    assert np.allclose(found.values(again)[:, 0], m.log_probabilities(again), atol=1e-5)
+def test_language_of_held_out_rows(spark):
+    """Rows of the held-out fold are predicted by models that have not seen them: other labels there change nothing."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 4 == 2
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, lang := rng.choice(list(STEMS)), rng.randint(6, 40)), lang, "s", 0) for i in range(600)]
+    wrong = [(i, t, "xx" if held(i) else lang, s, n) for i, t, lang, s, n in rows]
+    said = []
+    for r in (rows, wrong):
+        df = spark.createDataFrame(r, DOCS)
+        said.append({x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.identified(df, language.train(df)).collect()})
+    assert said[0] == said[1]
+    assert np.mean([said[0][i][0] == lang for i, _, lang, *_ in rows if held(i)]) > 0.98
+
+
+def brute_kneser_ney(texts, alphabet):
+    """Interpolated Kneser-Ney by its definition, over tuples; a function of a 4-gram."""
+    top = collections.Counter(g for t in texts for g in padded(t))
+    counts = {4: top}
+    for n in (3, 2, 1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    discount, seen = {}, {}
+    for n, c in counts.items():
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        seen[n] = collections.defaultdict(dict)
+        for g, v in c.items():
+            seen[n][g[:-1]][g[-1]] = v
+
+    def p(g):
+        if not g:
+            return 1 / alphabet
+        after = seen[len(g)].get(g[:-1])
+        if after is None:
+            return p(g[1:])
+        total, d = sum(after.values()), discount[len(g)]
+        return max(after.get(g[-1], 0) - d, 0) / total + d * len(after) / total * p(g[1:])
+
+    return p
+
+
+def padded(t):
+    c = [0, 0, *language.signs(t).tolist()]
+    return [tuple(c[i : i + 4]) for i in range(len(c) - 3)]
+
+
+def test_kneser_ney_by_its_definition():
+    rng = random.Random(11)
+    learned = {lang: [sentence(rng, lang, 30) for _ in range(8)] for lang in STEMS}
+    packed = {k: np.concatenate([language.grams(language.signs(t)) for t in v]) for k, v in learned.items()}
+    alphabet = language.alphabet_size(np.concatenate(list(packed.values())))
+    assert alphabet == len({g[-1] for v in learned.values() for t in v for g in padded(t)}) + 1
+    names = sorted(learned)
+    models = [language.Model(*np.unique(packed[k], return_counts=True), alphabet) for k in names]
+    found = language.Identifier(names, models)
+    tests = [sentence(rng, lang, 9) for lang in STEMS] + ["漢字 and ümläute", "x"]
+    n, h = found.entropies(tests)
+    for j, k in enumerate(names):
+        p = brute_kneser_ney(learned[k], alphabet)
+        for i, t in enumerate(tests):
+            g = padded(t)
+            assert n[i] == len(g) and abs(h[i, j] + sum(np.log(p(x)) for x in g) / len(g)) < 1e-5
+        letters = np.append(np.unique(language.suffix(np.concatenate(list(packed.values())), 1)), np.uint64(0xABCD))  # and one unknown sign
+        assert len(letters) == alphabet
+        for context in [*(packed[k][::40] >> np.uint64(16)), np.uint64(0xABCDABCD)]:
+            total = np.exp(models[j].log_probabilities((context << np.uint64(16)) | letters)).sum()
+            assert abs(total - 1) < 1e-6
 
 
 def test_toxicity(spark, none):
