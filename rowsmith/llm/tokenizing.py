@@ -1,9 +1,9 @@
-"""Encoding with a public byte-level BPE vocabulary.
+"""Encoding with a public byte-level BPE vocabulary, by the tokenizers library.
 
-The vocabulary is a file of the tokenizers library; ids are that library's for encode(text,
-add_special_tokens=False) without truncation or padding.  Most texts are encoded by tiktoken, whose engine
-applies the same pattern and the same merges several times faster; texts with the string of a special
-token, and any that tiktoken refuses, go to the library itself.  Tests hold both against each other.
+Ids are the library's for encode(text, add_special_tokens=False) without truncation or padding.  A space
+after a sign that is no white space always begins a pre-token of such vocabularies, whatever stands around
+it, so texts are cut there and the library encodes every distinct piece once; a worker remembers the short
+ones.  Texts with the string of a special token go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the public pre-tokenizer pattern of this family of vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,11 +27,20 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def require_byte_level(j: dict) -> None:
+    """Refuse a vocabulary file that does not split texts by PRETOKEN, as all that is built on its boundaries would be wrong."""
+    pre = j.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or j.get("normalizer") or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in j.get("added_tokens", [])):
+        raise ValueError("not a plain byte-level vocabulary: its normalizer, pre-tokenizer or added tokens change texts")
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], dict[str, int]]:
     """Ids by token bytes, merges in order, and the special tokens of a vocabulary file."""
     with open(path, encoding="utf-8") as f:
         j = json.load(f)
+    require_byte_level(j)
     byte_of = {s: b for b, s in byte_signs().items()}
     special = {t["content"]: t["id"] for t in j["added_tokens"]}
     as_bytes = lambda s: bytes(map(byte_of.__getitem__, s))
@@ -38,41 +49,125 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
     return ids, [(as_bytes(a), as_bytes(b)) for a, b in pairs], special
 
 
+#: White space before a space, where the space is no certain boundary: in ASCII, and in all texts.
+ASCII_WHITE = [c + " " for c in map(chr, range(128)) if c.isspace()]
+WHITE = ASCII_WHITE + [c + " " for c in map(chr, range(128, 0x3001)) if c.isspace()]
+#: Pieces that a worker remembers, the longest of them in bytes, and characters of new ones that are encoded as one text.
+MEMORY, LONGEST, AT_ONCE = 1_000_000, 64, 1 << 18
+NONE = np.zeros(0, "<u4")
+
+
+class Pieces:
+    """Ids of distinct strings: those of string k are flat[start[k] : start[k] + size[k]]."""
+
+    def __init__(self):
+        self.strings, self.start, self.size, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), NONE
+
+    def add(self, strings: pa.Array, ids: list[np.ndarray]) -> None:
+        size = np.array([len(x) for x in ids], np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.strings = pa.concat_arrays([self.strings, strings])
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
-        ids, merges, special = vocabulary(path)
-        if [ids[a + b] for a, b in merges] != sorted(ids[a + b] for a, b in merges):
-            raise ValueError("merges are not in the order of their ids")
+        ids, _, special = vocabulary(path)
         self.special = list(special)
-        self.engine = tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=ids, special_tokens={})
+        self.sizes = np.zeros(self.vocab_size, np.int64)  # bytes of each token
+        for token, i in [*ids.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.sizes[i] = len(token)
+        self.memory = Pieces()
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, wanted: list[str]) -> list[np.ndarray]:
+        """Ids of each piece with a space before it.  Pieces that end in a sign are encoded as one text, whose ids are dealt out by their bytes."""
+        out: list[np.ndarray] = [NONE] * len(wanted)
+        sure = [k for k, p in enumerate(wanted) if p and not p[-1].isspace()]
+        lo = size = 0
+        for k, i in enumerate(sure):
+            size += len(wanted[i])
+            if size > AT_ONCE or k + 1 == len(sure):
+                self._deal([wanted[j] for j in sure[lo : k + 1]], sure[lo : k + 1], out)
+                lo, size = k + 1, 0
+        rest = [k for k, p in enumerate(wanted) if not p or p[-1].isspace()]
+        for k, ids in zip(rest, self._each([" " + wanted[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _deal(self, parts: list[str], places: list[int], out: list[np.ndarray]) -> None:
+        ids = self._each([" " + " ".join(parts)])[0]
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([1 + len(p.encode()) for p in parts])
+        at = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[at], wanted):
+            raise ValueError("a token crosses a boundary that was taken as certain")
+        for k, part in zip(places, np.split(ids, at[:-1] + 1)):
+            out[k] = part
+
     def ids(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        try:
-            return self.engine.encode_ordinary(text)
-        except BaseException as e:  # its pattern engine panics on some very long runs
-            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
-                raise
-            return self.whole(text)
+        return self.encode([text])[0].tolist()
 
     def encode(self, batch: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, with `end` after them if given."""
-        tail = [] if end is None else [end]
-        return [np.array(self.ids(t) + tail, dtype="<u4") for t in batch]
+        out: list[np.ndarray] = [NONE] * len(batch)
+        sure, odd = [], []
+        for k, t in enumerate(batch):
+            if t:
+                (odd if any(w in t for w in (ASCII_WHITE if t.isascii() else WHITE)) or any(s in t for s in self.special) else sure).append(k)
+        for k, ids in zip(odd, self._each([batch[k] for k in odd])):
+            out[k] = ids
+        if sure:
+            for k, ids in zip(sure, self._cut([batch[k] for k in sure])):
+                out[k] = ids
+        tail = NONE if end is None else np.array([end], dtype="<u4")
+        return [np.concatenate([ids, tail]) for ids in out] if len(tail) else out
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts cut before every space, each of which follows a sign."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()).cast(pa.string()), " ")
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if len(self.memory.strings) > MEMORY:
+            self.memory = Pieces()
+        at = pc.index_in(words, value_set=self.memory.strings)
+        missing = pc.is_null(at)
+        new = words.filter(missing)
+        found = self.pieces(new.to_pylist())
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        base = self.memory
+        start, size, flat = base.start, base.size, base.flat
+        n = np.array([len(x) for x in found], np.int64)
+        place, m = np.empty(len(words), np.int64), missing.to_numpy(zero_copy_only=False)
+        place[~m] = at.drop_null().to_numpy()
+        place[m] = len(start) + np.arange(len(found))
+        firsts = self._each([t.partition(" ")[0] for t in texts])  # no space before them
+        n1 = np.array([len(x) for x in firsts], np.int64)
+        start = np.concatenate([start, len(flat) + np.cumsum(n) - n, len(flat) + n.sum() + np.cumsum(n1) - n1])
+        size = np.concatenate([size, n, n1])
+        flat = np.concatenate([flat, *found, *firsts])
+        code = place[code]
+        code[offsets[:-1]] = len(start) - len(firsts) + np.arange(len(firsts))
+        each = size[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(start[code] - ends[:-1], each) + np.arange(ends[-1])]
+        keep = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+        if len(keep):
+            base.add(new.filter(short), [found[k] for k in keep])
+        return np.split(ids, ends[offsets[1:-1]])
 
 
 @functools.lru_cache(maxsize=2)
