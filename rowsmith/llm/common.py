@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,17 +27,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new URI below spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset (tests, one machine) a folder below the system's temporary one is used and
-    remembered in the session.
+    A folder without a scheme is one of the cluster's default file system, as it is to Spark itself.  Where the
+    setting is unset, one machine (tests) uses a temporary folder, removed at exit; a cluster is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = spark.conf.get("spark.rowsmith.shared.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rowsmith-")
+        own = tempfile.mkdtemp(prefix="rowsmith-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.rowsmith.shared.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
+    path = context._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/rowsmith/{name}-{uuid.uuid4().hex[:12]}"
 
 
