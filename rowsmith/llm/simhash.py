@@ -4,16 +4,19 @@ Fingerprints: 64 bits from the XXH64 hashes of word shingles; a bit is set if it
 
 Links between fingerprints of at most 4 differing bits are found by a segment-popcount embedding.  The bit
 counts of the 32 segments of two bits are a point of 32 coordinates, held in one long of two bits each.  The
-Manhattan distance of two points never exceeds the number of differing bits, so points further apart need
-no look.  The range join runs on a grid: the coordinates are eight blocks of four, and where two points are
-at most 4 apart, at least four blocks are equal.  Each choice of four blocks is one of 70 grids, a point's
-cell being its coordinates there; points that share a cell are candidates, each pair is kept in the first
-grid of its equal blocks only, and is verified on the bits.
+Manhattan distance of two points never exceeds the number of differing bits, so the join is one of points at
+most 4 apart, which are then verified on the bits themselves.
 
-A cell with more than CROWD points is not joined with itself.  Two fingerprints at most 4 bits apart have a
-point at most 2 bits from both, so those in crowded cells are dealt to all points within 2 bits of them,
-2081 each, and all that meet at a point are linked with the least one there: linear in the fingerprints,
-exact, and at most 2081 of them meet.
+The range join runs on grids: the coordinates are dealt into B blocks, and of two points at most 4 apart at
+least B - 4 blocks are equal.  Each choice of B - 4 blocks is a grid, a point's cell being its coordinates
+there; points that share a cell are candidates, and each pair is kept in one grid only.  More blocks make more
+grids with finer cells: B follows from the number of fingerprints, so that neither rows nor candidates grow
+faster than they must.  Results do not depend on B.
+
+A cell that holds more than CROWD points even so is a cluster, and is not joined with itself: two fingerprints
+at most 4 bits apart have a point at most 2 bits from both, so its fingerprints are dealt to all points within
+2 bits of them, 2081 each, and all that meet at a point are linked with the least one there: linear, exact,
+and at most 2081 of them meet.
 
 Equal fingerprints are one vertex, so groups of copies make no pairs.  Components come from star rounds.
 
@@ -25,6 +28,7 @@ kept.  An empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +40,36 @@ from rowsmith.llm.common import column, discard, documents, per_batch, settle, s
 from rowsmith.llm.components import components
 
 SHINGLE, SEED, REACH, CROWD = 4, 42, 4, 1000
-EVEN_BITS = 0x5555555555555555
-GRIDS = list(itertools.combinations(range(8), 4))
+EVEN_BITS, SEGMENTS = 0x5555555555555555, 32
+#: Numbers of blocks to choose from; a coordinate of a real corpus tells about so many bits, and a row costs as much as so many candidates.
+BLOCKS, ENTROPY, ROW_COST = range(7, 17), 1.2, 20
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The bytes of each grid, and by the set of equal blocks the first grid within it.
-MASKS = [signed(sum(0xFF << 8 * b for b in g)) for g in GRIDS]
-FIRST_GRID = [next((t for t, g in enumerate(GRIDS) if all(s >> b & 1 for b in g)), -1) for s in range(256)]
+class Grids:
+    """The choices of all blocks but REACH: masks of their coordinates, and of each the earlier blocks that it leaves out."""
+
+    def __init__(self, blocks: int):
+        cuts = [round(SEGMENTS * k / blocks) for k in range(blocks + 1)]
+        self.blocks = [sum(3 << 2 * s for s in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+        chosen = list(itertools.combinations(range(blocks), blocks - REACH))
+        self.masks = [signed(sum(self.blocks[b] for b in c)) for c in chosen]
+        self.left_out = [sum(1 << b for b in range(c[-1]) if b not in c) for c in chosen]
+
+
+def blocks_for(n: int) -> int:
+    """The number of blocks for n fingerprints: of least rows and candidates together."""
+
+    def cost(b: int) -> float:
+        cells = 2 ** (ENTROPY * SEGMENTS * (b - REACH) / b)
+        return math.comb(b, REACH) * (1 + n / (2 * cells * ROW_COST))
+
+    return min(BLOCKS, key=cost)
+
+
 #: All changes of at most two bits.
 NEAR = [signed(sum(1 << b for b in c)) for n in range(3) for c in itertools.combinations(range(64), n)]
 
@@ -78,21 +101,31 @@ def embedded(fp: Column) -> Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # their sum, which as such could overflow
 
 
-def gridded(fps: DataFrame) -> DataFrame:
-    """grid, cell and fp: a row for each point and grid."""
+def manhattan(a: Column, b: Column) -> Column:
+    """The distance of two points: a coordinate's two bits differ as 01 or 11 where it is one apart, as 10 where it is two."""
+    differ = a.bitwiseXOR(b)
+    one = differ.bitwiseAND(F.lit(EVEN_BITS))
+    two = F.shiftrightunsigned(differ, 1).bitwiseAND(F.lit(EVEN_BITS)).bitwiseAND(F.bitwise_not(one))
+    return F.bit_count(one) + 2 * F.bit_count(two)
+
+
+def gridded(fps: DataFrame, grids: Grids) -> DataFrame:
+    """grid, cell, fp and its point: a row for each point and grid."""
     points = fps.select("fp", embedded(F.col("fp")).alias("point"))
-    return points.select("fp", F.posexplode(F.array(*[F.col("point").bitwiseAND(F.lit(m)) for m in MASKS])).alias("grid", "cell"))
+    return points.select("fp", "point", F.posexplode(F.transform(F.lit(grids.masks), lambda m: F.col("point").bitwiseAND(m))).alias("grid", "cell"))
 
 
-def _first_grid(a: Column, b: Column) -> Column:
-    differ = embedded(a).bitwiseXOR(embedded(b))
-    equal = sum((F.when(differ.bitwiseAND(F.lit(signed(0xFF << 8 * k))) == 0, 1 << k).otherwise(0) for k in range(8)), F.lit(0))
-    return F.get(F.lit(FIRST_GRID), equal)
+def _kept_here(grid: Column, a: Column, b: Column, grids: Grids) -> Column:
+    """Whether a grid is the first of a pair's: no block before its last one that it leaves out is equal."""
+    differ = a.bitwiseXOR(b)
+    equal = sum((F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, 1 << k).otherwise(0) for k, m in enumerate(grids.blocks)), F.lit(0))
+    return equal.bitwiseAND(F.get(F.lit(grids.left_out), grid)) == 0
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints: all links outside crowded cells, and enough in these to connect the same."""
-    rows = gridded(fps)
+    grids = Grids(blocks or blocks_for(fps.count()))
+    rows = gridded(fps, grids)
     cell = F.xxhash64("grid", "cell")
     crowded = settle(rows.groupBy(cell.alias("key")).count().where(F.col("count") > crowd).select("key"), "cells")
     if crowded.isEmpty():
@@ -102,20 +135,21 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
         inside = rows.withColumn("key", cell).join(crowded, "key", "left_semi").select("fp").distinct()
         dealt = inside.select("fp", F.explode(F.transform(F.lit(NEAR), lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
         meet = dealt.select(F.col("fp").alias("u"), F.min("fp").over(Window.partitionBy("at")).alias("v")).where("u <> v").distinct()
-    a, b = calm.alias("a"), calm.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= REACH
-    once = F.col("a.grid") == _first_grid(F.col("a.fp"), F.col("b.fp"))
+    a, b = calm.select("grid", "cell", "fp", "point").alias("a"), calm.select("grid", "cell", "fp", "point").alias("b")
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
-    pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & near & once).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    within = manhattan(F.col("a.point"), F.col("b.point")) <= REACH
+    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= REACH
+    once = _kept_here(F.col("a.grid"), F.col("a.point"), F.col("b.point"), grids)
+    pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & within & near & once).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     return pairs.unionByName(meet) if meet is not None else pairs
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) of every row."""
     spark = docs.sparkSession
     fps = settle(fingerprints(docs, shingle), "fingerprints")
     vertices = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
-    joined = components(links(vertices.select("fp"), crowd))
+    joined = components(links(vertices.select("fp"), crowd, blocks))
     sweep(spark)
     return fps.join(named(vertices, joined), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -192,8 +192,8 @@ def groups(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("crowd", [1000, 1])
-def test_simhash(docs, rows, crowd):
+@pytest.mark.parametrize("crowd,blocks", [(1000, None), (1, 8), (1000, 11)])
+def test_simhash(docs, rows, crowd, blocks):
     fps = [(d, brute_fingerprint(t)) for d, t, *_ in rows]
     nodes = sorted({f for _, f in fps})
     root = groups([(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a ^ b).bit_count() <= 4], nodes)
@@ -201,7 +201,7 @@ def test_simhash(docs, rows, crowd):
     for d, f in fps:
         if d is not None:
             least[root[f]] = min(least.get(root[f], d), d)
-    got = collections.Counter(tuple(r) for r in simhash.near_duplicates(docs, crowd=crowd).collect())
+    got = collections.Counter(tuple(r) for r in simhash.near_duplicates(docs, crowd=crowd, blocks=blocks).collect())
     assert got == collections.Counter((d, f"{f:016x}", least.get(root[f])) for d, f in fps)
     assert len(set(least.values())) < len(nodes)
 
@@ -215,17 +215,28 @@ def test_one_of_each_group_stays(docs, rows, none):
     assert simhash.representatives(none).count() == 0
 
 
-def test_grid_never_misses_links():
-    rng = random.Random(2)
-    for _ in range(2000):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), rng.randint(0, 4)):
+@pytest.mark.parametrize("blocks", [7, 8, 12, 16])
+def test_grids_never_miss_links(spark, blocks):
+    """The embedding's distance is a lower bound, and a link is a candidate in one grid only."""
+    rng, grids = random.Random(2), simhash.Grids(blocks)
+    point = lambda x: [(x >> 2 * k & 3).bit_count() for k in range(32)]
+    pairs = []
+    for _ in range(300):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), rng.randint(0, 9)):
             b ^= 1 << bit
-        point = lambda x: [(x >> 2 * k & 3).bit_count() for k in range(32)]
-        pa, pb = point(a), point(b)
-        assert sum(abs(x - y) for x, y in zip(pa, pb)) <= (a ^ b).bit_count()
-        assert sum(pa[4 * k : 4 * k + 4] == pb[4 * k : 4 * k + 4] for k in range(8)) >= 4
+        pairs.append((simhash.signed(a), simhash.signed(b), sum(abs(x - y) for x, y in zip(point(a), point(b))), (a ^ b).bit_count()))
+    df = spark.createDataFrame(pairs, "a long, b long, want int, bits int")
+    pa, pb = simhash.embedded(F.col("a")), simhash.embedded(F.col("b"))
+    cells = [F.when((pa.bitwiseAND(m) == pb.bitwiseAND(m)) & simhash._kept_here(F.lit(g), pa, pb, grids), 1).otherwise(0) for g, m in enumerate(grids.masks[:40])]
+    if blocks == 7:
+        for r in df.select("want", "bits", simhash.manhattan(pa, pb).alias("got"), sum(cells).alias("times")).collect():
+            assert r["got"] == r["want"] <= r["bits"] and (r["want"] > 4 or r["times"] == 1)
+    for a, b, want, bits in pairs:
+        if want <= 4:
+            a, b = (sum(c << 2 * k for k, c in enumerate(point(x % (1 << 64)))) for x in (a, b))
+            assert sum(a & (m % (1 << 64)) == b & (m % (1 << 64)) for m in grids.masks) >= 1
+    assert simhash.blocks_for(10**3) == 7 < simhash.blocks_for(10**9) <= 16
 
 
 def test_components(spark):
