@@ -75,14 +75,17 @@ def copy_rows(rows: DataFrame, plan: Plan, output: Output = Output()) -> DataFra
     return _sound(rows, plan, output.skip_blank).select("row_num", F.concat_ws("\t", *parts).alias("line"))
 
 
-def numbered(df: DataFrame, order: str = "row_num") -> DataFrame:
+def numbered(df: DataFrame, order: str = "row_num", held: list[DataFrame] | None = None) -> DataFrame:
     """Adds n, each row's number from 1 in the given order, without gathering rows in one task.
 
-    Rows are range partitioned; partitions' sizes, one number each, give the offsets.
+    Rows are range partitioned; partitions' sizes, one number each, give the offsets.  What is persisted for it is added
+    to held, for the caller to let go once the result has been read.
     """
     spark = df.sparkSession
     ids = F.monotonically_increasing_id()  # the partition in the high bits, the place in it in the low 33
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", ids).persist()
+    if held is not None:
+        held.append(ranged)
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     offsets, at = [], 0
     for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():
@@ -92,9 +95,9 @@ def numbered(df: DataFrame, order: str = "row_num") -> DataFrame:
     return ranged.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn("n", place + F.col("_base") + 1).drop("_part", "_base", "_id")
 
 
-def insert_batches(values: DataFrame, table: Table, names: list[str], size: int = BATCH) -> DataFrame:
+def insert_batches(values: DataFrame, table: Table, names: list[str], size: int = BATCH, held: list[DataFrame] | None = None) -> DataFrame:
     """batch, first_row, last_row, n_rows and statement of every batch of rows."""
-    rows = numbered(values).withColumn("batch", F.floor((F.col("n") - 1) / size))
+    rows = numbered(values, held=held).withColumn("batch", F.floor((F.col("n") - 1) / size))
     lines = F.array_sort(F.collect_list(F.struct("row_num", "values")))  # at most `size` rows
     each = rows.groupBy("batch").agg(F.min("row_num").alias("first_row"), F.max("row_num").alias("last_row"), F.count("*").alias("n_rows"), lines.alias("lines"))
     head = f"\nINSERT INTO {T.qualified(table.schema, table.name)}\n    ({', '.join(map(T.quote_identifier, names))})\nVALUES\n"
@@ -195,10 +198,15 @@ def script(rows: DataFrame, plan: Plan, output: Output = Output(), provenance: P
         statements = 1
         yield "\\.\n"
     else:
-        for r in insert_batches(insert_values(rows, plan, output), table, names, output.batch_size).orderBy("batch").toLocalIterator():
-            written += r["n_rows"]
-            statements += 1
-            yield r["statement"]
+        held: list[DataFrame] = []
+        try:
+            for r in insert_batches(insert_values(rows, plan, output), table, names, output.batch_size, held).orderBy("batch").toLocalIterator():
+                written += r["n_rows"]
+                statements += 1
+                yield r["statement"]
+        finally:
+            for df in held:
+                df.unpersist()
     if output.setval:
         yield setval_statement(table, output.setval)
     if output.transaction:
@@ -208,9 +216,14 @@ def script(rows: DataFrame, plan: Plan, output: Output = Output(), provenance: P
 
 def write_parts(rows: DataFrame, plan: Plan, path: str, output: Output = Output()) -> None:
     """The rows' SQL as text files in order of rows, written by all tasks: the sink for tables too large for one file."""
+    held: list[DataFrame] = []
     if output.mode == COPY:
         df = copy_rows(rows, plan, output).repartitionByRange("row_num").sortWithinPartitions("row_num").select("line")
     else:
-        df = insert_batches(insert_values(rows, plan, output), plan.table, plan.names, output.batch_size)
+        df = insert_batches(insert_values(rows, plan, output), plan.table, plan.names, output.batch_size, held)
         df = df.repartitionByRange("batch").sortWithinPartitions("batch").select("statement")
-    df.write.text(path)
+    try:
+        df.write.text(path)
+    finally:
+        for x in held:
+            x.unpersist()

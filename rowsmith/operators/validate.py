@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +12,8 @@ from rowsmith.functions import text as T
 from rowsmith.functions.cells import SIGNIFICANT, DATE, EMPTY, ERROR, assembled, recovered, shown, to_number
 from rowsmith.operators import keys
 from rowsmith.operators.checks import Check, compile_checks
-from rowsmith.operators.coerce import Options, coerce, enum_hint, key_of
-from rowsmith.operators.transforms import apply
+from rowsmith.operators.coerce import Options, coerce, enum_hint, key_of, reading
+from rowsmith.operators.transforms import apply, cut, is_textual, moment, replaced
 from rowsmith.plans.model import TEMPORAL, Plan, PlanColumn, Problem, Table, check, uniqueness_rules
 
 ISSUE = (
@@ -21,7 +21,6 @@ ISSUE = (
     "db_column string, value string, message string, hint string"
 )
 NAMES = [f.split()[0] for f in ISSUE.split(", ")]
-JIT_LIMIT = 8000
 MAX_ISSUES, MISALIGNED = 10_000, 0.30
 SAMPLE_ALL, HEAD, TAIL, MIDDLE = 1000, 200, 200, 600
 
@@ -104,28 +103,55 @@ def settled(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def apart(c: Column) -> Column:
+    """A settled value that is worked out outside of a stage's one generated method.
+
+    That method holds all operators of a stage in one piece, and with several wide columns it outgrows what the JVM
+    takes; Spark would then compile in vain and fall back.  A higher-order function keeps a projection out of it: on its
+    own, its code is split into methods of a size that the JVM compiles.
+    """
+    return F.when(F.exists(F.array(F.spark_partition_id()), lambda x: x >= 0), c)
+
+
 def evaluated(sheet: Sheet, plan: Plan, options: Options = Options()) -> DataFrame:
-    """row_num, blank, and for each planned column its applied cell p_<i> and coerced value v_<i>, each worked out once."""
-    # a generated method of more bytecode is never compiled by the JVM, and would be interpreted for every row
-    sheet.rows.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
-    n = range(len(plan.columns))
-    # one projection for each step: what several branches of a later step use is a column, not a repeated expression
-    df = sheet.rows.select("row_num", *[F.coalesce(F.col(f"c{c.mapping.index}").cast("string"), F.lit("")).alias(f"r_{i}") for i, c in enumerate(plan.columns)], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in enumerate(plan.columns)])
-    df = df.select("*", *[T.normalize_invisible(F.col(f"r_{i}")).alias(f"n_{i}") for i in n])
-    df = df.select("*", *[T.trimmed(F.col(f"n_{i}")).alias(f"t_{i}") for i in n])
-    df = df.select("*", *[to_number(F.col(f"t_{i}")).alias(f"a_{i}") for i in n])
-    df = df.select("*", *[F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")).alias(f"g_{i}") for i in n])
-    df = df.select("row_num", *[settled(assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904)).alias(f"x_{i}") for i in n])
-    blank = reduce(lambda a, b: a & b, [F.col(f"x_{i}.kind") == EMPTY for i in n], F.lit(True))
-    df = df.select("row_num", blank.alias("blank"), *[F.col(f"x_{i}") for i in n], *[settled(apply(F.col(f"x_{i}"), c.mapping.transform, c.column.family)).alias(f"p_{i}") for i, c in enumerate(plan.columns)])
-    kept = df.columns
-    df = df.select("*", *[key_of(F.col(f"p_{i}")).alias(f"k_{i}") for i in n])
-    return df.select(*kept, *[settled(valued(F.col(f"p_{i}"), c, options, F.col(f"k_{i}"))).alias(f"v_{i}") for i, c in enumerate(plan.columns)])
-
-
-def valued(applied: Column, c: PlanColumn, options: Options, key: Column | None = None) -> Column:
+    """row_num, blank, and for each planned column its applied cell p_<i> and coerced value v_<i>, each worked out once.
+
+    Every step is a projection of its own: what several branches of a later step use is a column, not a repeated expression.
+    """
+    columns = list(enumerate(plan.columns))
+    df = sheet.rows.select("row_num", *[F.coalesce(F.col(f"c{c.mapping.index}").cast("string"), F.lit("")).alias(f"r_{i}") for i, c in columns], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in columns])
+
+    def step(df: DataFrame, keep: list[str], name: str, make, only=None) -> DataFrame:
+        """df's columns of these names, and name_<i> of each planned column, or of those in `only`."""
+        kept = [x for x in df.columns if "_" not in x or x == "row_num" or x.rpartition("_")[0] in keep]
+        made = [(i, c) for i, c in columns if only is None or i in only]
+        return df.select(*kept, *[(settled if k else apart)(make(i, c)).alias(f"{name}_{i}") for k, (i, c) in enumerate(made)])  # one keeps all of them apart
+
+    df = step(df, ["r", "m"], "n", lambda i, c: T.normalize_invisible(F.col(f"r_{i}")))
+    df = step(df, ["r", "m", "n"], "t", lambda i, c: T.trimmed(F.col(f"n_{i}")))
+    df = step(df, ["r", "m", "n", "t"], "a", lambda i, c: to_number(F.col(f"t_{i}")))
+    df = step(df, ["r", "m", "n", "t", "a"], "g", lambda i, c: F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")))
+    df = step(df, [], "x", lambda i, c: assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904))
+    blank = reduce(lambda a, b: a & b, [F.col(f"x_{i}.kind") == EMPTY for i, _ in columns], F.lit(True))
+    df = df.select("row_num", blank.alias("blank"), *[f"x_{i}" for i, _ in columns])
+    textual = {i for i, c in columns if is_textual(c.mapping.transform, c.column.family)}
+    dated = {i for i, c in columns if i in textual and c.column.family in TEMPORAL}
+    df = step(df, ["x"], "cut", lambda i, c: cut(F.col(f"x_{i}"), c.mapping.transform), textual)
+    df = step(df, ["x", "cut"], "replaced", lambda i, c: replaced(F.col(f"cut_{i}"), c.mapping.transform), textual)
+    if dated:
+        df = step(df, ["x", "cut", "replaced"], "moment", lambda i, c: moment(F.col(f"replaced_{i}"), c.mapping.transform), dated)
+    at_hand = lambda i: {k: F.col(f"{k}_{i}") for k, of in (("cut", textual), ("replaced", textual), ("moment", dated)) if i in of}
+    df = step(df, ["x"], "p", lambda i, c: apply(F.col(f"x_{i}"), c.mapping.transform, c.column.family, at_hand(i)))
+    df = step(df, ["x", "p"], "k", lambda i, c: key_of(F.col(f"p_{i}")))
+    read = {i for i, c in columns if reading(F.col(f"p_{i}"), c.column, options, F.col(f"k_{i}")) is not None}
+    if read:
+        df = step(df, ["x", "p", "k"], "h", lambda i, c: reading(F.col(f"p_{i}"), c.column, options, F.col(f"k_{i}")), read)
+    return step(df, ["x", "p"], "v", lambda i, c: valued(F.col(f"p_{i}"), c, options, F.col(f"k_{i}"), F.col(f"h_{i}") if i in read else None))
+
+
+def valued(applied: Column, c: PlanColumn, options: Options, key: Column | None = None, read: Column | None = None) -> Column:
     """The coerced value, or E201 where the column's date layouts did not read the text."""
-    out = coerce(applied, c.column, options, key)
+    out = coerce(applied, c.column, options, key, read)
     if c.column.family not in TEMPORAL:
         return out
     failed = applied["date_failed"] & ~applied["kind"].isin(DATE, EMPTY, ERROR)
@@ -151,7 +177,9 @@ def row_issues(rows: DataFrame, plan: Plan, checks: list[Check]) -> DataFrame:
         v = F.col(f"v_{i}")
         hint = enum_hint(c.column) if c.column.enum_values else ""
         of_cell.append(F.when(v["code"].isNotNull(), _issue(v["code"], row, c, shown(F.col(f"x_{i}")), v["message"], hint)))
-    cells = F.array_compact(F.array(*of_cell))
+    none = F.array().cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ISSUE.split(', '))}>>")
+    wrong = reduce(lambda a, b: a | b, [F.col(f"v_{i}.code").isNotNull() for i in range(len(plan.columns))], F.lit(False))
+    cells = F.when(wrong, F.array_compact(F.array(*of_cell))).otherwise(none)
     values = {c.column.name: F.col(f"v_{i}") for i, c in enumerate(plan.columns)}
     families = {c.column.name: c.column.family for c in plan.columns}
     of_check = []
@@ -160,9 +188,9 @@ def row_issues(rows: DataFrame, plan: Plan, checks: list[Check]) -> DataFrame:
         why = k.failure(values, families)
         seen = values[at.column.name]["text"] if at else F.lit("")
         of_check.append(F.when(why.isNotNull(), _issue("E306", row, at, T.shortened(F.coalesce(seen, F.lit(""))), F.concat(F.lit(f"constraint {k.name}: "), why))))
-    df = rows.where(~F.col("blank")).select("*", settled(cells).alias("issues"))
+    df = rows.where(~F.col("blank")).select("*", apart(cells).alias("issues"))
     if of_check:
-        df = df.withColumn("issues", settled(F.when(F.size("issues") == 0, F.array_compact(F.array(*of_check))).otherwise(F.col("issues"))))
+        df = df.withColumn("issues", apart(F.when(F.size("issues") == 0, F.array_compact(F.array(*of_check))).otherwise(F.col("issues"))))
     return df
 
 
@@ -207,15 +235,29 @@ def key_issues(rows: DataFrame, plan: Plan, settings: Settings, target: DataFram
     return out
 
 
-def sampled(rows: DataFrame, first: int, last: int) -> DataFrame:
-    """All rows of up to 1000; of more, the first and last 200 and about 600 between, by a hash of their place."""
-    total = last - first + 1
+def sample_bounds(rows: DataFrame) -> tuple[int, int, int]:
+    """The number of rows, the row_num of the last one of the head, and that of the first one of the tail; row_nums may have gaps."""
+    total = rows.count()
+    if total <= SAMPLE_ALL:
+        return total, 0, 0
+    row = F.col("row_num")
+    head = rows.select(row).orderBy(row).limit(HEAD).agg(F.max(row)).first()[0]
+    tail = rows.select(row).orderBy(row.desc()).limit(TAIL).agg(F.min(row)).first()[0]
+    return total, head, tail
+
+
+def drawn(rows: DataFrame, total: int, head: int, tail: int) -> DataFrame:
+    """All rows of up to 1000; of more, those up to the head's last and from the tail's first, and about 600 between, by a hash of their place."""
     if total <= SAMPLE_ALL:
         return rows
     row = F.col("row_num")
-    inner = total - HEAD - TAIL
-    middle = F.pmod(F.xxhash64(row, F.lit(total)), F.lit(inner)) < MIDDLE
-    return rows.where((row < first + HEAD) | (row > last - TAIL) | middle)
+    middle = F.pmod(F.xxhash64(row, F.lit(total)), F.lit(total - HEAD - TAIL)) < MIDDLE
+    return rows.where((row <= head) | (row >= tail) | middle)
+
+
+def sampled(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """The sample of rows whose row_nums run from first to last without a gap."""
+    return drawn(rows, last - first + 1, first + HEAD - 1, last - TAIL + 1)
 
 
 def column_stats(rows: DataFrame, plan: Plan) -> list[dict]:
@@ -295,27 +337,31 @@ def validate(sheet: Sheet, plan: Plan, settings: Settings = Settings(), target:
     if not plan.table.primary_key:
         found.append(Problem("W203", f"{plan.table.name} has no primary key", "rows cannot be told apart later", severity="warning"))
     verdicts: list[Verdict] = []
-    rows = None
-    if not any(p.severity == "error" for p in found):
-        rows = evaluated(sheet, plan, settings.options).persist()
-        ends = sheet.rows.agg(F.min("row_num"), F.max("row_num")).first()
-        part = sampled(rows, ends[0] or 0, ends[1] or 0)
-        verdicts, more = column_verdicts(column_stats(part, plan), plan, settings.misaligned)
+    blocked = any(p.severity == "error" for p in found)
+    if not blocked:  # a wrong mapping costs the evaluation of a sample only
+        part = replace(sheet, rows=drawn(sheet.rows, *sample_bounds(sheet.rows)))
+        verdicts, more = column_verdicts(column_stats(evaluated(part, plan, settings.options), plan), plan, settings.misaligned)
         found += more
+        blocked = any(p.severity == "error" for p in found)
     fixed = as_issues(spark, found)
-    if rows is None or any(p.severity == "error" for p in found):
+    if blocked:
         return summed(fixed, settings, verdicts=verdicts, unverifiable=beyond)
-    judged = row_issues(rows, plan, checks)
-    counts = rows.agg(F.count("*"), F.count_if("blank")).first()
-    valid = judged.where(F.size("issues") == 0).count()
-    parts = [judged.select(F.explode("issues").alias("i")).select("i.*"), *key_issues(rows, plan, settings, target, references or {})]
-    every = reduce(DataFrame.unionByName, parts, fixed)
-    return summed(every, settings, counts[0] - counts[1], valid, counts[1], verdicts, beyond)
+    rows = evaluated(sheet, plan, settings.options).persist()
+    try:
+        judged = row_issues(rows, plan, checks)
+        counts = rows.agg(F.count("*"), F.count_if("blank")).first()
+        valid = judged.where(F.size("issues") == 0).count()
+        parts = [judged.select(F.explode("issues").alias("i")).select("i.*"), *key_issues(rows, plan, settings, target, references or {})]
+        return summed(reduce(DataFrame.unionByName, parts, fixed), settings, counts[0] - counts[1], valid, counts[1], verdicts, beyond)
+    finally:
+        rows.unpersist()
 
 
 def summed(issues: DataFrame, settings: Settings, total: int = 0, valid: int = 0, skipped: int = 0, verdicts=(), unverifiable=()) -> Report:
+    """A report whose counters are of all issues and whose list, of max_issues rows at most, is held by the driver."""
     rows = counted(issues).collect()
-    out = Report(ordered(issues, settings.max_issues), rows_total=total, rows_valid=valid, rows_skipped=skipped, verdicts=list(verdicts), unverifiable=list(unverifiable))
+    listed = issues.sparkSession.createDataFrame(ordered(issues, settings.max_issues).collect(), ISSUE)
+    out = Report(listed, rows_total=total, rows_valid=valid, rows_skipped=skipped, verdicts=list(verdicts), unverifiable=list(unverifiable))
     for r in rows:
         out.errors += r["count"] * (r["severity"] == "error")
         out.warnings += r["count"] * (r["severity"] == "warning")

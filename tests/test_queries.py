@@ -20,9 +20,21 @@ def con():
     return c
 
 
+@pytest.fixture
+def compiled(spark):
+    """Generated code must compile: there is no falling back to interpretation."""
+    strict = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    before = {k: spark.conf.get(k) for k in strict}
+    for k, v in strict.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables")
-@pytest.mark.parametrize("name", ["text_normalize", "coerce_numeric", "check_between", "dup_single", "fk_missing", "issues_report", "header_match_scores", "insert_batches", "timestamptz_offset"])
-def test_same_as_sql(spark, con, name):
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) & set(queries.SQL)))
+def test_same_as_sql(spark, con, compiled, name):
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
@@ -30,6 +42,7 @@ def test_same_as_sql(spark, con, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == cols
     assert got == sorted(str(tuple(r[names.index(c)] for c in cols)) for r in found.fetchall())
+    spark.catalog.clearCache()
 
 
 def test_every_query_has_a_twin():
