@@ -1,42 +1,46 @@
 """Toxicity by a factorization machine over hashed terms (operator 10).
 
 A text's terms are its lower-cased words, stripped of signs at their ends, and the first three, four and
-five letters of longer words; each is hashed (XXH64) to 22 bits.  A factorization machine adds to a weight for each term present
-the products of the terms' vectors, so that two terms may mean together what neither does alone.
-
-The labelled rows of the training folds are taken whole if they are at most TRAIN_ROWS; of more, those
-whose hashed doc_id is below the matching threshold are, about as many.  Of the terms seen there at least five times, the FEATURES with the
-strongest association with the label (the G test) get weights; the rest do not count, so a long text is not
-drowned by its ordinary words.  They are counted on the executors; the driver gets the chosen terms, and of
-each training row its chosen terms' numbers.  Weights are fitted by AdaGrad to the log loss, with both classes weighing
-as they come.
-
-Null and empty texts have no terms and score the bias.  If there is nothing to learn from, or one class
-only, every score is that class's smoothed share.  Rows with a null doc_id are scored, never learned from.
-Repeated rows are scored alike.  An empty table gives no rows.
+five letters of longer words; each is hashed (XXH64) to 20 bits.  Every slot of that space has a weight and a
+vector.  The machine adds to the weights of the terms present the products of their vectors, so that two terms
+may mean together what neither does alone.
+
+No term is left out.  A term's value is not 1 but grows with what the labels say of it: with z, the distance of
+its toxic rows from their expected number in standard deviations, it is tanh((z / 4)^2).  Ordinary words of a
+long text so whisper, and telling ones speak; a term that no labelled row has is silent.
+
+The labelled rows of the training folds are taken whole if they are at most TRAIN_ROWS, a documented bound of
+the sample; of more, those whose hashed doc_id is below the matching threshold are, about as many.  Equal rows
+count once.  Their terms are found on the executors; the driver gets them as packed numbers, and fits by AdaGrad
+to the log loss, with both classes weighing as they come.
+
+Null and empty texts have no terms and score the bias.  If there is nothing to learn from, or one class only,
+every score is that class's smoothed share.  Rows with a null doc_id are scored, never learned from.  Where a
+doc_id has several labels, toxic wins.  Repeated rows are scored alike.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsmith.llm.common import bucket, column, discard, documents, per_batch, settle, texts
 
-HASH_BITS, STEMS = 22, (3, 4, 5)
-#: Least G statistic of a term with weights: chance reaches it about once in 10,000 terms.
-LEAST_G = 8.0
-TRAIN_ROWS, FEATURES, FACTORS, LEAST_SEEN = 20_000, 4000, 8, 4
-EPOCHS, BATCH, RATE, L2 = 25, 256, 0.15, 1e-4
+HASH_BITS, STEMS = 20, (3, 4, 5)
+SLOTS = 1 << HASH_BITS
+TRAIN_ROWS, FACTORS = 8000, 8
+TELLING = 4.0
+EPOCHS, BATCH, RATE, CALM, L2 = 12, 256, 0.15, 1.0, 1e-4
 THRESHOLD, FOLDS, HELD_FOLD = 0.7, 3, 1
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…¿¡"
 SEED = 20
 #: Words that a worker remembers.
 MEMORY = 500_000
+#: Bytes of text that a task scores at once.
+AT_ONCE = 4 << 20
 
 
 def hashed(term: str) -> int:
@@ -54,18 +58,11 @@ def word_terms(word: str) -> tuple[int, ...]:
 class Terms:
     """Hashed terms of texts, each word being looked at once."""
 
-    def __init__(self, kept: dict[int, int] | None = None):
-        self.kept, self.seen = kept, {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = word_terms(word)
-        if self.kept is not None:
-            found = tuple(self.kept[t] for t in found if t in self.kept)
-        if len(word) <= 64:
-            self.seen[word] = found
-        return found
+    def __init__(self):
+        self.seen: dict[str, tuple[int, ...]] = {}
 
-    def of(self, text: str | None) -> list[int]:
+    def of(self, text: str | None) -> np.ndarray:
+        """The distinct terms of a text, rising."""
         if len(self.seen) > MEMORY:
             self.seen.clear()
         out: set[int] = set()
@@ -73,72 +70,77 @@ class Terms:
         for w in set((text or "").lower().split()):
             got = seen.get(w)
             if got is None:
-                got = self.of_word(w)
+                got = word_terms(w)
+                if len(w) <= 64:
+                    seen[w] = got
             out.update(got)
-        return sorted(out)
+        return np.sort(np.fromiter(out, np.int32, len(out)))
 
 
 class Machine:
-    """A fitted factorization machine over numbered features."""
-
-    def __init__(self, features: np.ndarray, bias: float, weights: np.ndarray, factors: np.ndarray):
-        self.features, self.bias, self.weights, self.factors = features, bias, weights, factors
+    """A fitted factorization machine: of each slot its weight and its vector, both times the slot's value."""
+
+    def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray):
+        self.bias, self.weights, self.factors = bias, weights, factors
+
+    def scores(self, found: list[np.ndarray]) -> np.ndarray:
+        """Scores of documents, each given by its terms."""
+        n = np.array([len(t) for t in found], np.int64)
+        z = np.full(len(found), self.bias)
+        some = np.flatnonzero(n)
+        if len(some):
+            ids = np.concatenate([found[i] for i in some])
+            starts = np.cumsum(n[some]) - n[some]
+            v = self.factors[ids].astype(float)
+            s = np.add.reduceat(v, starts, axis=0)
+            own = np.add.reduceat((v * v).sum(1), starts)
+            z[some] += np.add.reduceat(self.weights[ids].astype(float), starts) + 0.5 * ((s * s).sum(1) - own)
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def score(self, terms: list[int]) -> float:
-        x = self.bias + self.weights[terms].sum()
-        if len(terms) > 1:
-            v = self.factors[terms]
-            s = v.sum(axis=0)
-            x += 0.5 * float((s * s).sum() - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
-
-
-def chosen(terms: DataFrame, total: int, positive: int, most: int = FEATURES) -> np.ndarray:
-    """The terms most associated with the label, by the G statistic; ties go to the smaller term.
-
-    terms has a row (term, toxic) for each document and term in it; only the chosen ones come to the driver.
-    """
-    if not 0 < positive < total:
-        return np.zeros(0, np.int64)
-    seen = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where(F.col("n") >= LEAST_SEEN)
-    share = positive / total
+        return float(self.scores([np.array(terms, np.int64)])[0])
 
-    def part(o: Column, e: Column) -> Column:
-        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
 
-    n, k = F.col("n"), F.col("k")
-    g = part(k, n * share) + part(n - k, n * (1 - share)) + part(positive - k, (total - n) * share) + part(total - n - positive + k, (total - n) * (1 - share))
-    best = seen.withColumn("g", g).where(F.col("g") > LEAST_G).orderBy(F.desc("g"), "term").limit(most)
-    return np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)
+def values(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Each slot's value: 0 of one never seen, towards 1 of one whose rows are toxic far more or less often than others."""
+    n, k = np.zeros(SLOTS), np.zeros(SLOTS)
+    for t, toxic in zip(x, y):
+        n[t] += 1
+        k[t] += toxic
+    share = y.mean()
+    z = (k - n * share) / np.sqrt(n * share * (1 - share) + 1)
+    return np.tanh((z / TELLING) ** 2)
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, kept: np.ndarray, factors: int = FACTORS) -> Machine:
-    """Fit to the numbers of kept terms in each document and 0/1 labels; the same input gives the same machine."""
+def fit(x: list[np.ndarray], y: np.ndarray, factors: int = FACTORS) -> Machine:
+    """Fit to the terms of each document and 0/1 labels; the same input gives the same machine."""
     rng = np.random.default_rng(SEED)
     share = (y.sum() + 0.5) / (len(y) + 1)
-    bias, m = float(np.log(share / (1 - share))), len(kept)
-    w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
-    if not m:
-        return Machine(kept, bias, w, v)
-    gb, gw, gv = 1e-8, np.full(m, 1e-8), np.full((m, factors), 1e-8)
+    bias = float(np.log(share / (1 - share)))
+    if not 0 < y.sum() < len(y):
+        return Machine(bias, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, factors), np.float32))
+    value = values(x, y)
+    w, v = np.zeros(SLOTS, np.float32), rng.normal(0, 0.02, (SLOTS, factors)).astype(np.float32)
+    gb, gw, gv = 1e-8, np.full(SLOTS, CALM, np.float32), np.full((SLOTS, factors), CALM, np.float32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
+            part = [i for i in order[lo : lo + BATCH] if len(x[i])]
+            if not part:
+                continue
             size = np.array([len(x[i]) for i in part])
-            ids = np.concatenate([x[i] for i in part])
-            doc = np.repeat(np.arange(len(part)), size)
-            vi = v[ids]
-            s = np.zeros((len(part), factors))
-            np.add.at(s, doc, vi)
-            q = np.bincount(doc, weights=(vi * vi).sum(1), minlength=len(part))
-            z = bias + np.bincount(doc, weights=w[ids], minlength=len(part)) + 0.5 * ((s * s).sum(1) - q)
-            err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]
+            ids, doc, starts = np.concatenate([x[i] for i in part]), np.repeat(np.arange(len(part)), size), np.cumsum(size) - size
             used, at = np.unique(ids, return_inverse=True)
-            dw = np.bincount(at, weights=err[doc], minlength=len(used)) + L2 * len(part) * w[used]
-            dv = np.zeros((len(used), factors))
-            np.add.at(dv, at, err[doc][:, None] * (s[doc] - vi))
-            dv += L2 * len(part) * v[used]
+            u = value[used]
+            vu = v[used] * u[:, None]
+            s = np.add.reduceat(vu[at], starts, axis=0)
+            own = np.add.reduceat((vu * vu).sum(1)[at], starts)
+            z = bias + np.add.reduceat((w[used] * u)[at], starts) + 0.5 * ((s * s).sum(1) - own)
+            err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]
+            total = np.bincount(at, weights=err[doc], minlength=len(used))
+            met = np.stack([np.bincount(at, weights=(err * s[:, j])[doc], minlength=len(used)) for j in range(factors)], axis=1)
+            dw = total * u + L2 * len(part) * w[used]
+            dv = (met - vu * total[:, None]) * u[:, None] + L2 * len(part) * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             w[used] -= RATE * dw / np.sqrt(gw[used])
@@ -146,73 +148,59 @@ def fit(x: list[np.ndarray], y: np.ndarray, kept: np.ndarray, factors: int = FAC
             db = float(err.sum())
             gb += db * db
             bias -= 0.3 * RATE * db / np.sqrt(gb)
-    return Machine(kept, bias, w, v)
+    return Machine(bias, (w * value).astype(np.float32), (v * value[:, None]).astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Fit on labels.toxic of the training folds."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where((bucket("doc_id", FOLDS) != HELD_FOLD) & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scale = 1 << 30
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * rows / n))
     few = n <= rows or known.count() <= 2 * rows  # as it is, but for chance: then texts need no shuffle
     texts_of = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code = terms_of(None)
-        found = [code.of(t) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
-
-    found = settle(per_batch(texts_of.select("doc_id", "text", "toxic"), find, "doc_id long, toxic int, terms array<int>"), "terms")
-    total, positive = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    kept = chosen(found.select("toxic", F.explode("terms").alias("term")), total, positive)
+        code = terms()
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array([code.of(t).astype("<i4").tobytes() for t in texts(batch)], pa.binary())], names=["doc_id", "toxic", "x"])
 
-    def number(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = column(batch, "terms").to_pylist()
-        packed = [np.flatnonzero(np.isin(kept, np.array(t, np.int64))).astype("<u2").tobytes() for t in lists]
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "x"])
-
-    got = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in per_batch(found, number, "doc_id long, toxic int, x binary").collect())
+    found = settle(per_batch(texts_of.select("doc_id", "text", "toxic"), find, "doc_id long, toxic int, x binary", AT_ONCE).distinct(), "terms")
+    m = found.count()  # more than the labels if doc_ids repeat
+    taken = found if m <= 2 * rows else found.where(F.pmod(F.xxhash64("x", "doc_id"), F.lit(scale)) < int(scale * rows / m))
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in taken.collect())
     discard(docs.sparkSession, found)
-    return fit([np.frombuffer(x, "<u2").astype(np.int64) for _, _, x in got], np.array([y for _, y, _ in got], float), kept)
+    return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, _, x in got], np.array([y for _, y, _ in got], float))
 
 
-_TERMS: dict = {}
+_TERMS: list[Terms] = []
 
 
-def terms_of(key: str | None, kept: dict[int, int] | None = None) -> Terms:
-    """A worker's term finder for a model."""
-    if key not in _TERMS:
-        _TERMS.clear()
-        _TERMS[key] = Terms(kept)
-    return _TERMS[key]
+def terms() -> Terms:
+    """A worker's term finder."""
+    if not _TERMS:
+        _TERMS.append(Terms())
+    return _TERMS[0]
 
 
 def _scores(docs: DataFrame, machine: Machine):
     """A function from a batch of docs to its texts' scores."""
-    model = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by FEATURES and FACTORS
-    key = f"{len(machine.features)}-{machine.bias}-{machine.weights.sum()}"
-
-    def of(batch: pa.RecordBatch) -> np.ndarray:
-        m = model.value
-        code = terms_of(key, {int(t): i for i, t in enumerate(m.features)} if key not in _TERMS else None)
-        return np.array([m.score(code.of(t)) for t in texts(batch)])
-
-    return of
+    model = docs.sparkSession.sparkContext.broadcast(machine)  # its size is that of the hash space, whatever the input's is
+    return lambda batch: model.value.scores([terms().of(t) for t in texts(batch)])
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     scores = _scores(docs, machine)
     run = lambda batch: pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores(batch))], names=["doc_id", "score"])
-    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, score double")
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, score double", AT_ONCE)
 
 
 def harmless(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     scores = _scores(docs, machine)
-    return per_batch(docs, lambda batch: batch.filter(pa.array(scores(batch) < threshold)), docs.schema)
+    return per_batch(docs, lambda batch: batch.filter(pa.array(scores(batch) < threshold)), docs.schema, AT_ONCE)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -206,12 +207,30 @@ def test_simhash(docs, rows, crowd, blocks):
     assert len(set(least.values())) < len(nodes)
 
 
-def test_one_of_each_group_stays(docs, rows, none):
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert len([i for i in ids if i is not None]) == len(want - {None}) and set(ids) - {None} == want - {None}
+def one_kept_of_each(kept, all_rows, group_of):
+    """Exactly one row of each group stays, of the least doc_id, nulls last."""
+    left = collections.defaultdict(list)
+    for r in kept.select("doc_id", "text").collect():
+        left[group_of(r["text"])].append(r["doc_id"])
+    want = {}
+    for d, t, *_ in all_rows:
+        g = group_of(t)
+        want[g] = min(want.get(g, (True, 0)), (d is None, d or 0))
+    assert {g: len(v) for g, v in left.items()} == dict.fromkeys(want, 1)
+    assert all(v[0] == (None if want[g][0] else want[g][1]) for g, v in left.items())
+
+
+#: Rows whose doc_ids are null or repeated, with equal and with different texts.
+CLASHES = [(None, "alpha beta gamma delta epsilon"), (None, "one two three four five six"), (None, "one two three four five six"), (1, "red green blue white black"), (1, "up down left right over under"), (1, "up down left right over under"), (2, "up down left right over under"), (2, "north south"), (None, None), (None, ""), (7, None)]
+
+
+def test_one_of_each_group_stays(spark, docs, rows, none):
+    for given, frame in ((rows, docs), (CLASHES, spark.createDataFrame(CLASHES, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id()))):
+        kept = simhash.representatives(frame)
+        assert kept.columns == frame.columns
+        nodes = sorted({brute_fingerprint(t) for _, t, *_ in given})
+        root = groups([(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a ^ b).bit_count() <= 4], nodes)
+        one_kept_of_each(kept, given, lambda t, root=root: root[brute_fingerprint(t)])
     assert simhash.representatives(none).count() == 0
 
 
@@ -467,9 +486,51 @@ def test_toxicity(spark, none):
 def test_machine_learns_pairs():
     rng = np.random.default_rng(8)
     a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
-    x = [np.array([k for k, on in enumerate(p) if on], np.int64) for p in zip(a, b)]
-    m = toxicity.fit(x, (a & b).astype(float), np.array([10, 20]))
-    assert m.score([0, 1]) > 0.9 and max(m.score([]), m.score([0]), m.score([1])) < 0.2
+    x = [np.array([10 * (k + 1) for k, on in enumerate(p) if on], np.int64) for p in zip(a, b)]
+    m = toxicity.fit(x, (a & b).astype(float))
+    assert m.score([10, 20]) > 0.9 and max(m.score([]), m.score([10]), m.score([20])) < 0.2
+
+
+def test_scores_are_sums_over_terms_and_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(-0.4, rng.normal(0, 0.3, toxicity.SLOTS).astype(np.float32), rng.normal(0, 0.2, (toxicity.SLOTS, 4)).astype(np.float32))
+    code = toxicity.Terms()
+    lots = ["you absolute fool, you", "", None, "Plain words. Stand here!", "x"]
+    for got, text in zip(m.scores([code.of(t) for t in lots]), lots):
+        plain = set()
+        for w in (text or "").lower().split():
+            w = w.strip(toxicity.SIGNS)
+            plain |= {xxhash.xxh64_intdigest(t, 20) >> 44 for t in [w, *("^" + w[:k] for k in (3, 4, 5) if len(w) > k)] if w}
+        z = -0.4 + sum(float(m.weights[t]) for t in plain)
+        z += sum(float(sum(float(p) * float(q) for p, q in zip(m.factors[s], m.factors[t]))) for s, t in itertools.combinations(sorted(plain), 2))
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Labels of the held-out fold change no score, and its toxic rows are found."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    rng, docs = random.Random(3), []
+    insults = ["idiot", "scum!", "worthless", "filth"]
+    for i in range(900):
+        w = [sentence(rng, "en", 1) for _ in range(60)] + (rng.sample(insults, 2) if i % 5 == 0 else [])
+        rng.shuffle(w)
+        docs.append((i, " ".join(w), "en", "s", 0))
+    df, said = spark.createDataFrame(docs, DOCS), []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(i, 1, int((i % 5 == 0) ^ (flip and held(i)))) for i in range(900)], "doc_id long, quality int, toxic int")
+        said.append({r["doc_id"]: r["score"] for r in toxicity.scored(df, toxicity.train(df, labels)).collect()})
+    assert said[0] == said[1]
+    judged = [(said[0][i] >= 0.7, i % 5 == 0) for i in range(900) if held(i)]
+    assert sum(p and t for p, t in judged) > 0.9 * sum(t for _, t in judged) and sum(p and not t for p, t in judged) <= 2
+
+
+def test_toxicity_learns_a_bounded_number_of_rows(spark, monkeypatch):
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda x, y: seen.append(len(x)) or fit(x, y))
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(7, 0, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, labels, 100)
+    assert 50 < seen[0] < 200
 
 
 def brute_shingles(t):
@@ -510,11 +571,25 @@ def test_pipeline_near_duplicates_by_jaccard(spark, near_rows):
     want = collections.Counter((d, least.get(root[place[s]])) for d, s in found)
     assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == want
     kept = corpus_pipeline.near_deduplicated(spark, docs, "")
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(set(least.values()))
+    assert kept.columns == docs.columns
+    one_kept_of_each(kept, near_rows, lambda t: root[place[brute_shingles(t)]])
+    odd = corpus_pipeline.near_deduplicated(spark, spark.createDataFrame(CLASHES, "doc_id long, text string"), "")
+    one_kept_of_each(odd, CLASHES, brute_shingles)
     assert jaccard.representatives(docs.limit(0)).count() == 0
 
 
+def test_counts_bound_the_difference(spark):
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n, m, k in ((100, 90, 80), (5000, 9000, 4000), (20_000, 20_000, 0), (1, 0, 0)):
+        h = rng.integers(0, 1 << 64, n + m, np.uint64)
+        a, b = h[:n], h[n - k : n - k + m]
+        pairs.append((jaccard.counts(a).tolist(), jaccard.counts(b).tolist(), len(set(a) ^ set(b)), int(np.abs(jaccard.counts(a).view(np.uint8).astype(int) - jaccard.counts(b).view(np.uint8)).sum())))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>, differ long, want long")
+    for r in df.select("differ", "want", jaccard.manhattan("a", "b").alias("got")).collect():
+        assert r["got"] == r["want"] <= r["differ"]
+
+
 def test_chance_of_a_missed_candidate():
     assert (1 - 0.8**jaccard.ROWS) ** jaccard.BANDS < 1e-8
     rng, met = np.random.default_rng(3), 0
