@@ -74,6 +74,11 @@ def blocks_for(n: int) -> int:
 NEAR = [signed(sum(1 << b for b in c)) for n in range(3) for c in itertools.combinations(range(64), n)]
 
 
+def text_hash() -> Column:
+    """With doc_id it tells rows apart."""
+    return F.xxhash64("text")
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a text, as a signed number."""
     words = text.encode().lower().split() if text else []
@@ -86,13 +91,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, a long, of each row."""
+    """doc_id, th (a hash of the text) and fp, a long, of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = pa.array([fingerprint(t, shingle) for t in texts(batch)], pa.int64())
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), fps], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), fps], names=["doc_id", "th", "fp"])
 
-    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return per_batch(docs.select("doc_id", "text", text_hash().alias("th")), run, "doc_id long, th long, fp long")
 
 
 def embedded(fp: Column) -> Column:
@@ -146,40 +151,54 @@ def links(fps: DataFrame, crowd: int = CROWD, blocks: int | None = None) -> Data
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) of every row."""
+    return placed(docs, shingle, crowd, blocks).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def placed(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
+    """doc_id, th (a hash of the text), fp, root (the component's least fingerprint) and component_id of every row."""
     spark = docs.sparkSession
     fps = settle(fingerprints(docs, shingle), "fingerprints")
     vertices = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
     joined = components(links(vertices.select("fp"), crowd, blocks))
     sweep(spark)
-    return fps.join(named(vertices, joined), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named(vertices, joined), "fp", "left")
 
 
 def named(vertices: DataFrame, joined: DataFrame) -> DataFrame:
-    """fp and component_id of vertices (fp, least): the least doc_id of each component, by way of its root in joined."""
+    """fp, root and component_id of vertices (fp, least): the least doc_id of each component, by way of its root in joined."""
     spark = vertices.sparkSession
     rooted = vertices.join(joined, vertices["fp"] == joined["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted, "rooted")
     least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    found = settle(rooted.join(least, "root").select("fp", "component_id"), "named")
+    found = settle(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
     discard(spark, vertices, rooted, least)
     return found
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component: one document of each group."""
-    return one_of_each(docs, near_duplicates(docs, shingle))
+    """One row of docs for each component."""
+    return one_of_each(docs, placed(docs, shingle))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, groups being doc_id and component_id of all rows.
+    """One row of docs for each root of groups (doc_id, th and root of all rows): of least doc_id, nulls last, then of least th.
 
-    Where a doc_id is repeated, one of its rows stays; rows without one stay if their component has none.
+    A row is told by its doc_id and th.  Where the chosen row comes several times, alike in both, one of them stays;
+    rows of other components stay whatever doc_id they have.
     """
-    found = settle(groups.select("doc_id", "component_id"), "components")
-    ids = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    found = settle(groups.select("doc_id", "th", "root"), "components")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"), F.count("*").alias("n")).select("r.doc_id", "r.th", "n")
+    first = settle(first.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "n"), "representatives")
+    keyed = docs.withColumn("_rowsmith_th", text_hash())
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["_doc_id"]) & (keyed["_rowsmith_th"] == other["_th"])
+    times = found.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    again = first.where("n > 1").join(times, F.col("_doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
+    again = settle(again.select("_doc_id", "_th"), "again")
+    kept = keyed.join(first, same(first), "left_semi")
+    if not again.isEmpty():
+        several = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "_rowsmith_th"])
+        kept = kept.join(again, same(again), "left_anti").unionByName(several)
+    return kept.drop("_rowsmith_th")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
