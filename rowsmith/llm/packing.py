@@ -27,8 +27,9 @@ from rowsmith.llm.tokenizing import default_vocabulary, encoder
 
 WINDOW, END_ID = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Ids a task holds back in open windows before their pieces are given out; bounds its memory.
+#: Low bits of a sequence id, for the sequences of one partition.
 PARTITION_BITS = 33
+REPORT = "sequences long, ids long, padding_placed long, padding long"
 
 
 class Packer:
@@ -39,6 +40,10 @@ class Packer:
         self.counts = np.zeros(window + 1, dtype=np.int64)  # open windows by fill level; empty and full ones do not count
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
 
+    def padding(self) -> int:
+        """What the windows that are open now lack to be full."""
+        return int(((self.window - np.arange(self.window + 1)) * self.counts).sum())
+
     def level(self, n: int) -> int:
         """The fill level that takes an item of n ids at the smallest sum of squares; 0 is a new window."""
         c, w = self.counts, self.window
@@ -120,5 +125,26 @@ def pack(docs: DataFrame, path: str, end: int = END_ID, window: int = WINDOW) ->
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def padding_report(docs: DataFrame, path: str, end: int = END_ID, window: int = WINDOW) -> DataFrame:
+    """A row for each task: its sequences and ids, the padding that placing by sums of squares leaves, and that after the windows
+    left open have been emptied into one another."""
+    bounded(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, code, sequences, total = Packer(window), encoder(path), 0, 0
+        for batch in batches:
+            for ids in code.encode(texts(batch), end):
+                total += len(ids)
+                sequences += len(ids) // window
+                rest = ids[len(ids) - len(ids) % window :]
+                if len(rest):
+                    sequences += packer.put((None, 0, rest, len(ids))) is not None
+        placed = packer.padding()
+        sequences += sum(1 for _ in packer.close())
+        yield pa.RecordBatch.from_pydict({"sequences": [sequences], "ids": [total], "padding_placed": [placed], "padding": [sequences * window - total]})
+
+    return docs.select("text").mapInArrow(run, REPORT)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), default_vocabulary())

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from rowsmith.llm import bpe, components, fingerprints, jaccard, language, packing, quality, recompression, simhash, substrings, token_files, toxicity, warc
 from rowsmith.llm.common import shared_dir
@@ -155,6 +156,14 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, default_vocabulary()).count() == 0
 
 
+def test_padding_is_reported(docs):
+    """Placing alone leaves some padding, and the closing pass less than a window for each task."""
+    found = packing.padding_report(docs, default_vocabulary()).collect()
+    pieces = packing.pack(docs, default_vocabulary()).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert (sum(r["sequences"] for r in found), sum(r["ids"] for r in found)) == tuple(pieces)
+    assert all(0 <= r["padding"] < 2048 and r["padding"] <= r["padding_placed"] for r in found)
+
+
 def test_sum_of_squares_choice():
     rng, p = np.random.default_rng(1), packing.Packer(50)
     for _ in range(500):
@@ -289,6 +298,41 @@ def test_quality(docs, rows, none):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def brute_votes(t):
+    """The eight rules on a text, from its words and lines."""
+    n, chars, symbols, dups, repeats = brute_quality(t)
+    t, w = t or "", words(t)
+    if n < 50:
+        return [0] * 8
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    ended = sum(x.rstrip(" ")[-1:] in list(".!?:\"”»)]") for x in lines)
+    capitals, variety = len(re.findall("[A-Z]", t)), len(set(w)) / n**0.5
+    bad = [symbols / n > 0.1, repeats / n > 0.4, dups / len(lines) > 0.4, capitals / chars > 0.4, not 2.5 <= chars / n <= 12, len(lines) >= 3 and ended / len(lines) < 0.1, variety < 3]
+    prose = symbols / n < 0.02 and repeats / n < 0.3 and capitals / chars < 0.2 and 3 <= chars / n <= 9 and variety > 5
+    return [-b for b in map(int, bad)] + [int(prose)]
+
+
+def test_quality_verdicts_by_brute_force(docs, rows):
+    """Votes, expectation-maximisation over the rows themselves, and posteriors, by plain loops."""
+    votes = [brute_votes(t) for _, t, *_ in rows]
+    accuracy = [0.75] * 8
+    for _ in range(100):
+        right, cast = [3.0] * 8, [4.0] * 8
+        for v in votes:
+            good = 1 / (1 + np.prod([(a / (1 - a)) ** -x for a, x in zip(accuracy, v)]))
+            for j, x in enumerate(v):
+                right[j] += abs(x) * (good if x > 0 else 1 - good)
+                cast[j] += abs(x)
+        accuracy = [min(0.999, r / c) for r, c in zip(right, cast)]
+    want = collections.Counter()
+    for (d, t, *_), v in zip(rows, votes):
+        n, *_, repeats = brute_quality(t)
+        good = 1 / (1 + np.prod([(a / (1 - a)) ** -x for a, x in zip(accuracy, v)]))
+        want[(d, n >= 50 and 100 * repeats <= 50 * n and bool(good >= 0.5 - 1e-12))] += 1
+    got = collections.Counter((r["doc_id"], r["kept"]) for r in quality.quality(docs).collect())
+    assert got == want and len({k for _, k in got}) == 2 and any(any(v) for v in votes)
+
+
 def test_quality_estimates():
     good, bad = [0] * 7 + [1], [-1, -1] + [0] * 6
     a = quality.estimate([(good, 900), (bad, 80), ([-1] + [0] * 7, 20)])
@@ -346,6 +390,52 @@ def test_fingerprints(docs, rows, none):
     assert fingerprints.fingerprints(docs.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
+def brute_pieces(data):
+    """By the words of the docstring: after line breaks, after blanks whose four bytes before say so, and at the end."""
+    out, start = [], 0
+    for i, b in enumerate(data):
+        ends = b == 10
+        if b == 32:
+            h = 0
+            for back in (4, 3, 2, 1):
+                h = (h + data[max(i - back, 0)] + 1) * 0x9E3779B1 % (1 << 32)
+            ends = (h >> 20) % 4 == 0
+        if ends or i + 1 == len(data):
+            out.append(data[start : i + 1])
+            start = i + 1
+    return out
+
+
+def brute_sums(text):
+    lanes, wide = [0] * 128, [0, 0]
+    for p in brute_pieces(text.encode()):
+        h = xxhash.xxh3_128_intdigest(p)
+        for k in range(128):
+            lanes[k] += 1 if h >> (127 - k) & 1 else -1
+        for k, w in enumerate((h >> 64, h % (1 << 64))):
+            wide[k] = (wide[k] + (w ^ w >> 29) * 0xBF58476D1CE4E5B9 + 1) % (1 << 64)
+    return lanes, wide
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    dot, size = sum(x * y for x, y in zip(a[0], b[0])), sum(x * x for x in a[0]) * sum(x * x for x in b[0])
+    return min(max(dot / size**0.5, 0.0), 0.999999) if size else 0.0
+
+
+def test_fingerprints_by_their_definition(docs, rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    text_of = lambda s: "".join(f"{x % (1 << 16):04x}" for x in s[0]) + "".join(f"{x:016x}" for x in s[1])
+    want = collections.Counter()
+    for k, (d, t, *_) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        a, b, c = (brute_sums(x) for x in (t, t[: len(t) - len(t) // 3] + following[: len(t) // 3], following))
+        want[(d, text_of(a), text_of(b), round(brute_likeness(a, b), 9), round(brute_likeness(a, c), 9))] += 1
+    got = collections.Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprints(docs).collect())
+    assert got == want
+
+
 def test_fingerprint_ranges(docs, monkeypatch):
     whole = collections.Counter(tuple(r) for r in fingerprints.fingerprints(docs).collect())
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 9)
@@ -603,3 +693,74 @@ def test_likeness_of_very_many_equal_lines(spark):
     docs = spark.createDataFrame([(2, "the same line\n" * 40_000), (1, "other words")], "doc_id long, text string")
     row = fingerprints.fingerprints(docs).where("doc_id = 2").first()
     assert row["near_edited"] > 0.99
+
+
+#: The columns that the contract of each query names.
+CONTRACT = {
+    "op1_language": "doc_id held_out lang_pred score", "op2_simhash": "doc_id fingerprint component_id", "op3_token_files": "doc_id start n_tokens ids_crc32",
+    "op4_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op5_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op6_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op7_substrings": "doc_id n_words n_removed kept_sha256",
+    "op8_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op10_toxicity": "doc_id held_out score predicted",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, rows, tmp_path_factory):
+    """The three tables the queries read, with odd rows and columns of clashing names; and the same without rows."""
+    folders = []
+    for name in ("some", "none"):
+        d = str(tmp_path_factory.mktemp(name))
+        here = rows if name == "some" else []
+        spark.createDataFrame(here, DOCS).withColumns({c: F.lit(1) for c in ("row", "x", "th", "root", "n_words", "_doc_id")}).repartition(3).write.parquet(f"{d}/documents.parquet")
+        pages = [(i, f"http://h/{i}", t) for i, (_, t, *_) in enumerate(here)]
+        spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+        labels = [(i, 1, int(i % 7 == 0)) for i, *_ in here if i is not None and i < 100]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        folders.append(d)
+    return folders
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_queries_have_the_contract_s_columns_and_rows(spark, tables, rows, name):
+    found = __spark_entry__.queries()
+    some, none = (found[name](spark, d) for d in tables)
+    assert set(CONTRACT[name].split()) <= set(some.columns)
+    n = some.select("doc_id").distinct().count() if name == "op9_packing" else some.count()
+    assert n == (len({d for d, *_ in rows}) if name == "op9_packing" else len(rows)) and none.count() == 0
+
+
+def test_pipeline_end_to_end(spark, tables, rows):
+    """Each stage against brute force on what the one before it kept, then the whole."""
+    folder, empty = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages, kept = dict(corpus_pipeline.STAGES), docs
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "substring_dedup", "packing"]
+    verdict = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality.quality(docs).collect()}
+    after = {}
+    for name in list(stages)[:-1]:
+        before, kept = kept, spark.createDataFrame(stages[name](spark, kept, folder).collect(), docs.schema)
+        assert kept.columns == docs.columns
+        after[name] = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        if name == "near_dedup":
+            given = [(r["doc_id"], r["text"]) for r in before.collect()]
+            nodes = sorted({brute_shingles(t) for _, t in given}, key=sorted)
+            root = groups([(i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]) if 5 * len(a & b) >= 4 * len(a | b)], range(len(nodes)))
+            place = {s: i for i, s in enumerate(nodes)}
+            one_kept_of_each(kept, given, lambda t, root=root, place=place: root[place[brute_shingles(t)]])
+    assert collections.Counter(d for d, _ in after["quality"]) == collections.Counter(d for d, t, *_ in rows if verdict[(d, len(words(t)))])
+    count = collections.Counter(tuple(w[i : i + 35]) for w in (words(t) for _, t in after["near_dedup"]) for i in range(len(w) - 34))
+    left = collections.Counter()
+    for d, t in after["near_dedup"]:
+        w = words(t)
+        keep = [not any(count[tuple(w[i : i + 35])] > 1 for i in range(max(0, k - 34), min(k, len(w) - 35) + 1)) for k in range(len(w))]
+        left[(d, tuple(x for x, k in zip(w, keep) if k))] += 1
+    assert left == collections.Counter((d, tuple(words(t))) for d, t in after["substring_dedup"])
+    got, whole = collections.Counter(), library()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got[r["doc_id"]] += r["length"]
+    want = collections.Counter()
+    for d, t in after["substring_dedup"]:
+        want[d] += len(whole(t or "")) + 1
+    assert got == want
+    assert corpus_pipeline.run(spark, empty).count() == 0
