@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms (operator 10).
 
 A text's terms are its lower-cased words, stripped of signs at their ends, and the first three, four and
-five letters of longer words; each is hashed (XXH64) to 20 bits.  Every slot of that space has a weight and a
+five letters of longer words; each is hashed (XXH64) to 19 bits.  Every slot of that space has a weight and a
 vector.  The machine adds to the weights of the terms present the products of their vectors, so that two terms
 may mean together what neither does alone.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.common import bucket, column, discard, documents, per_batch, settle, texts
 
-HASH_BITS, STEMS = 20, (3, 4, 5)
+HASH_BITS, STEMS = 19, (3, 4, 5)
 SLOTS = 1 << HASH_BITS
 TRAIN_ROWS, FACTORS = 8000, 8
 TELLING = 4.0
@@ -119,8 +119,8 @@ def fit(x: list[np.ndarray], y: np.ndarray, factors: int = FACTORS) -> Machine:
     bias = float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return Machine(bias, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, factors), np.float32))
-    value = values(x, y)
-    w, v = np.zeros(SLOTS, np.float32), rng.normal(0, 0.02, (SLOTS, factors)).astype(np.float32)
+    value = values(x, y).astype(np.float32)
+    w, v = np.zeros(SLOTS, np.float32), rng.standard_normal((SLOTS, factors), np.float32) * np.float32(0.02)
     gb, gw, gv = 1e-8, np.full(SLOTS, CALM, np.float32), np.full((SLOTS, factors), CALM, np.float32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
@@ -169,9 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     found = settle(per_batch(texts_of.select("doc_id", "text", "toxic"), find, "doc_id long, toxic int, x binary", AT_ONCE).distinct(), "terms")
     m = found.count()  # more than the labels if doc_ids repeat
     taken = found if m <= 2 * rows else found.where(F.pmod(F.xxhash64("x", "doc_id"), F.lit(scale)) < int(scale * rows / m))
-    got = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in taken.collect())
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["x"])) for r in taken.toLocalIterator())  # a partition at a time in the JVM
     discard(docs.sparkSession, found)
-    return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, _, x in got], np.array([y for _, y, _ in got], float))
+    return fit([np.frombuffer(x, "<i4") for _, _, x in got], np.array([y for _, y, _ in got], float))
 
 
 _TERMS: list[Terms] = []

@@ -590,7 +590,7 @@ def test_scores_are_sums_over_terms_and_pairs():
         plain = set()
         for w in (text or "").lower().split():
             w = w.strip(toxicity.SIGNS)
-            plain |= {xxhash.xxh64_intdigest(t, 20) >> 44 for t in [w, *("^" + w[:k] for k in (3, 4, 5) if len(w) > k)] if w}
+            plain |= {xxhash.xxh64_intdigest(t, 20) >> 45 for t in [w, *("^" + w[:k] for k in (3, 4, 5) if len(w) > k)] if w}
         z = -0.4 + sum(float(m.weights[t]) for t in plain)
         z += sum(float(sum(float(p) * float(q) for p, q in zip(m.factors[s], m.factors[t]))) for s, t in itertools.combinations(sorted(plain), 2))
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-6
