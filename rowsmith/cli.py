@@ -9,9 +9,11 @@ import argparse
 import getpass
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
+from rowsmith.functions.text import byte_size
 from rowsmith.plans import config as layouts
 from rowsmith.plans.headers import fingerprint
 from rowsmith.session import Session
@@ -41,8 +43,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def print_report(report, as_json: bool, out=sys.stdout) -> None:
-    """The summary, blocked columns, the first issues, and what could not be verified."""
+def print_report(report, as_json: bool, out=None) -> None:
+    """The summary, blocked columns, the first issues, and what could not be verified; to standard output if not said otherwise."""
+    out = out or sys.stdout
     if as_json:
         import json
 
@@ -65,10 +68,15 @@ def run(args: argparse.Namespace, session: Session) -> int:
     try:
         c = layouts.load(args.config)
         if session.table is None:
+            session.connect(session.connection)
             session.describe(c.schema, c.table)
         session.open(args.file, sheet=c.sheet, header_row=c.header_row)
         for w in session.load(args.config):
             print(f"warning: {w}", file=sys.stderr)
+        if getattr(args, "mode", None):
+            session.output = replace(session.output, mode=args.mode)
+        if session.server:
+            session.output = replace(session.output, conforming=session.server.conforming)
     except Exception as e:  # whatever does not fit is said without the password
         print(session.connection.redact(str(e)) if session.connection else e, file=sys.stderr)
         return SETUP
@@ -81,6 +89,7 @@ def run(args: argparse.Namespace, session: Session) -> int:
         return DATA
     if args.command == "import":
         session.generate(args.out)
+        print(f"{args.out}: {byte_size(session.written)}")
     return DONE
 
 
@@ -90,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return USAGE if e.code else DONE
     password = os.environ.get("PGPASSWORD") or getpass.getpass()
-    spark = SparkSession.builder.appName("rowsmith").getOrCreate()
+    spark = SparkSession.builder.appName("rowsmith").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     return run(args, Session(spark, Connection(args.host, args.database, args.user, password, args.port, args.sslmode)))
 
 

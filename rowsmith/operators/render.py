@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 from datetime import datetime
@@ -214,6 +215,28 @@ def script(rows: DataFrame, plan: Plan, output: Output = Output(), provenance: P
     yield f"\n{LINE}--  End of script: {written:,} rows across {statements} statement(s)\n{LINE}"
 
 
+def write_script(path: str, parts) -> int:
+    """Write a script's parts to a new local file; the bytes written.  A partial file is removed."""
+    size = 0
+    try:
+        with open(path, "xb") as f:
+            for part in parts:
+                size += f.write(part.encode())
+    except FileExistsError:
+        raise
+    except BaseException:
+        if os.path.exists(path):
+            os.remove(path)
+        raise
+    return size
+
+
+def head_lines(path: str, n: int, limit: int = 1 << 16) -> list[str]:
+    """The first lines of a local file, from one bounded read however large it is."""
+    with open(path, "rb") as f:
+        return f.read(limit).decode("utf-8", "ignore").split("\n")[:n]
+
+
 def write_parts(rows: DataFrame, plan: Plan, path: str, output: Output = Output()) -> None:
     """The rows' SQL as text files in order of rows, written by all tasks: the sink for tables too large for one file."""
     held: list[DataFrame] = []

@@ -135,8 +135,8 @@ def apply(cell: Column, t: Transform, family: str, at_hand: dict[str, Column] |
     same = out(kind, cell["str"], cell["num"], cell["bool"], cell["ts"])
     if not is_textual(t, family):
         return same
-    before = at_hand.get("cut", cut(cell, t))
-    s = at_hand.get("replaced", replaced(before, t))
+    before = at_hand["cut"] if "cut" in at_hand else cut(cell, t)
+    s = at_hand["replaced"] if "replaced" in at_hand else replaced(before, t)
     was_blank = trimmed(before) == ""
     blank = F.lit(False) if t.default_on_blank else was_blank
     is_number = (kind == NUMBER) & F.lit(not t.strip_non_digits)
@@ -148,7 +148,7 @@ def apply(cell: Column, t: Transform, family: str, at_hand: dict[str, Column] |
         b = truth(s, t.bool_map)
         result = result.when(b.isNotNull(), out(F.lit(BOOL), b=b)).when(kind == BOOL, same)
     if family in TEMPORAL:
-        ts = at_hand.get("moment", moment(s, t))
+        ts = at_hand["moment"] if "moment" in at_hand else moment(s, t)
         result = result.when(ts.isNotNull(), out(F.lit(DATE), ts=ts))
         failed = normalize_key(s) != ""
     result = result.when(blank & (kind == EMPTY), out(F.lit(EMPTY), failed=failed))

@@ -53,6 +53,12 @@ class Settings:
     max_issues: int = MAX_ISSUES
     check_existing: bool = True
     check_foreign: bool = False
+    stop_at_sample: bool = True  # else rows are looked at in spite of the sample, and condemned columns' issues are counted only
+
+    def describe(self, rehearsed: bool = False) -> str:
+        """What a run with these settings looks at, for a script's header."""
+        also = [(self.check_existing, "keys of the target"), (self.check_foreign, "references"), (rehearsed, "a rehearsal without refusals")]
+        return ", ".join(["every row", *[what for holds, what in also if holds]])
 
 
 @dataclass
@@ -113,40 +119,52 @@ def apart(c: Column) -> Column:
     return F.when(F.exists(F.array(F.spark_partition_id()), lambda x: x >= 0), c)
 
 
-def evaluated(sheet: Sheet, plan: Plan, options: Options = Options()) -> DataFrame:
-    """row_num, blank, and for each planned column its applied cell p_<i> and coerced value v_<i>, each worked out once.
+def evaluation_steps(sheet: Sheet, plan: Plan, options: Options = Options()) -> list[list[Column]]:
+    """The projections of evaluated(), one after another; sheets of the same columns may share them.
 
     Every step is a projection of its own: what several branches of a later step use is a column, not a repeated expression.
     """
     columns = list(enumerate(plan.columns))
-    df = sheet.rows.select("row_num", *[F.coalesce(F.col(f"c{c.mapping.index}").cast("string"), F.lit("")).alias(f"r_{i}") for i, c in columns], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in columns])
+    row = F.col("row_num")
+    first = [row, *[F.coalesce(F.col(f"c{c.mapping.index}").cast("string"), F.lit("")).alias(f"r_{i}") for i, c in columns], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in columns]]
+    steps, present = [first], {"row_num": None} | {f"{k}_{i}": k for k in "rm" for i, _ in columns}
 
-    def step(df: DataFrame, keep: list[str], name: str, make, only=None) -> DataFrame:
-        """df's columns of these names, and name_<i> of each planned column, or of those in `only`."""
-        kept = [x for x in df.columns if "_" not in x or x == "row_num" or x.rpartition("_")[0] in keep]
+    def step(keep: list[str], name: str, make, only=None) -> None:
+        """The columns of these names, and name_<i> of each planned column, or of those in `only`."""
+        nonlocal present
+        present = {x: k for x, k in present.items() if k is None or k in keep}
         made = [(i, c) for i, c in columns if only is None or i in only]
-        return df.select(*kept, *[(settled if k else apart)(make(i, c)).alias(f"{name}_{i}") for k, (i, c) in enumerate(made)])  # one keeps all of them apart
-
-    df = step(df, ["r", "m"], "n", lambda i, c: T.normalize_invisible(F.col(f"r_{i}")))
-    df = step(df, ["r", "m", "n"], "t", lambda i, c: T.trimmed(F.col(f"n_{i}")))
-    df = step(df, ["r", "m", "n", "t"], "a", lambda i, c: to_number(F.col(f"t_{i}")))
-    df = step(df, ["r", "m", "n", "t", "a"], "g", lambda i, c: F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")))
-    df = step(df, [], "x", lambda i, c: assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904))
+        # one that is apart keeps all of a projection so
+        steps.append([*map(F.col, present), *[(settled if k else apart)(make(i, c)).alias(f"{name}_{i}") for k, (i, c) in enumerate(made)]])
+        present |= {f"{name}_{i}": name for i, _ in made}
+
+    step(["r", "m"], "n", lambda i, c: T.normalize_invisible(F.col(f"r_{i}")))
+    step(["r", "m", "n"], "t", lambda i, c: T.trimmed(F.col(f"n_{i}")))
+    step(["r", "m", "n", "t"], "a", lambda i, c: to_number(F.col(f"t_{i}")))
+    step(["r", "m", "n", "t", "a"], "g", lambda i, c: F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")))
+    step([], "x", lambda i, c: assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904))
     blank = reduce(lambda a, b: a & b, [F.col(f"x_{i}.kind") == EMPTY for i, _ in columns], F.lit(True))
-    df = df.select("row_num", blank.alias("blank"), *[f"x_{i}" for i, _ in columns])
+    steps.append([row, blank.alias("blank"), *[F.col(f"x_{i}") for i, _ in columns]])
+    present = {"row_num": None, "blank": None} | {f"x_{i}": "x" for i, _ in columns}
     textual = {i for i, c in columns if is_textual(c.mapping.transform, c.column.family)}
     dated = {i for i, c in columns if i in textual and c.column.family in TEMPORAL}
-    df = step(df, ["x"], "cut", lambda i, c: cut(F.col(f"x_{i}"), c.mapping.transform), textual)
-    df = step(df, ["x", "cut"], "replaced", lambda i, c: replaced(F.col(f"cut_{i}"), c.mapping.transform), textual)
+    step(["x"], "cut", lambda i, c: cut(F.col(f"x_{i}"), c.mapping.transform), textual)
+    step(["x", "cut"], "replaced", lambda i, c: replaced(F.col(f"cut_{i}"), c.mapping.transform), textual)
     if dated:
-        df = step(df, ["x", "cut", "replaced"], "moment", lambda i, c: moment(F.col(f"replaced_{i}"), c.mapping.transform), dated)
+        step(["x", "cut", "replaced"], "moment", lambda i, c: moment(F.col(f"replaced_{i}"), c.mapping.transform), dated)
     at_hand = lambda i: {k: F.col(f"{k}_{i}") for k, of in (("cut", textual), ("replaced", textual), ("moment", dated)) if i in of}
-    df = step(df, ["x"], "p", lambda i, c: apply(F.col(f"x_{i}"), c.mapping.transform, c.column.family, at_hand(i)))
-    df = step(df, ["x", "p"], "k", lambda i, c: key_of(F.col(f"p_{i}")))
-    read = {i for i, c in columns if reading(F.col(f"p_{i}"), c.column, options, F.col(f"k_{i}")) is not None}
+    step(["x"], "p", lambda i, c: apply(F.col(f"x_{i}"), c.mapping.transform, c.column.family, at_hand(i)))
+    step(["x", "p"], "k", lambda i, c: key_of(F.col(f"p_{i}")))
+    read = {i: r for i, c in columns if (r := reading(F.col(f"p_{i}"), c.column, options, F.col(f"k_{i}"))) is not None}
     if read:
-        df = step(df, ["x", "p", "k"], "h", lambda i, c: reading(F.col(f"p_{i}"), c.column, options, F.col(f"k_{i}")), read)
-    return step(df, ["x", "p"], "v", lambda i, c: valued(F.col(f"p_{i}"), c, options, F.col(f"k_{i}"), F.col(f"h_{i}") if i in read else None))
+        step(["x", "p", "k"], "h", lambda i, c: read[i], read)
+    step(["x", "p"], "v", lambda i, c: valued(F.col(f"p_{i}"), c, options, F.col(f"k_{i}"), F.col(f"h_{i}") if i in read else None))
+    return steps
+
+
+def evaluated(sheet: Sheet, plan: Plan, options: Options = Options(), steps: list[list[Column]] | None = None) -> DataFrame:
+    """row_num, blank, and for each planned column its applied cell p_<i> and coerced value v_<i>, each worked out once."""
+    return reduce(lambda df, step: df.select(*step), steps or evaluation_steps(sheet, plan, options), sheet.rows)
 
 
 def valued(applied: Column, c: PlanColumn, options: Options, key: Column | None = None, read: Column | None = None) -> Column:
@@ -195,7 +213,11 @@ def row_issues(rows: DataFrame, plan: Plan, checks: list[Check]) -> DataFrame:
 
 
 def _key_rows(rows: DataFrame, plan: Plan, columns: tuple[str, ...]) -> DataFrame | None:
-    """row_num, k_0, k_1, ... and the key's text; none if a part is not mapped."""
+    """row_num, k_0, k_1, ... and the key's text; none if a part is not mapped.
+
+    rows are to be persisted: the optimiser follows a join's keys down to their scan, and an evaluation's many steps would
+    make that endless.
+    """
     at = [next((i for i, c in enumerate(plan.columns) if c.column.name == name), None) for name in columns]
     if any(i is None for i in at) or not at:
         return None
@@ -314,6 +336,11 @@ def counted(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code", "severity", "excel_column").count()
 
 
+def listed(issues: DataFrame, condemned: list[str]) -> DataFrame:
+    """Without the cell issues of sheet columns that the sample has condemned: one issue says it for all of them."""
+    return issues.where((F.col("scope") != "cell") | ~F.col("excel_column").isin(condemned)) if condemned else issues
+
+
 def filtered(issues: DataFrame, severity: str = "", code: str = "", column: str = "", search: str = "") -> DataFrame:
     """As a reader of the report would narrow it."""
     for name, wanted in (("severity", severity), ("code", code), ("excel_column", column)):
@@ -339,14 +366,14 @@ def validate(sheet: Sheet, plan: Plan, settings: Settings = Settings(), target:
     verdicts: list[Verdict] = []
     blocked = any(p.severity == "error" for p in found)
     if not blocked:  # a wrong mapping costs the evaluation of a sample only
-        part = replace(sheet, rows=drawn(sheet.rows, *sample_bounds(sheet.rows)))
-        verdicts, more = column_verdicts(column_stats(evaluated(part, plan, settings.options), plan), plan, settings.misaligned)
+        part, steps = replace(sheet, rows=drawn(sheet.rows, *sample_bounds(sheet.rows))), evaluation_steps(sheet, plan, settings.options)
+        verdicts, more = column_verdicts(column_stats(evaluated(part, plan, settings.options, steps), plan), plan, settings.misaligned)
         found += more
-        blocked = any(p.severity == "error" for p in found)
+        blocked = settings.stop_at_sample and any(p.severity == "error" for p in found)
     fixed = as_issues(spark, found)
     if blocked:
         return summed(fixed, settings, verdicts=verdicts, unverifiable=beyond)
-    rows = evaluated(sheet, plan, settings.options).persist()
+    rows = evaluated(sheet, plan, settings.options, steps).persist()
     try:
         judged = row_issues(rows, plan, checks)
         counts = rows.agg(F.count("*"), F.count_if("blank")).first()
@@ -360,8 +387,8 @@ def validate(sheet: Sheet, plan: Plan, settings: Settings = Settings(), target:
 def summed(issues: DataFrame, settings: Settings, total: int = 0, valid: int = 0, skipped: int = 0, verdicts=(), unverifiable=()) -> Report:
     """A report whose counters are of all issues and whose list, of max_issues rows at most, is held by the driver."""
     rows = counted(issues).collect()
-    listed = issues.sparkSession.createDataFrame(ordered(issues, settings.max_issues).collect(), ISSUE)
-    out = Report(listed, rows_total=total, rows_valid=valid, rows_skipped=skipped, verdicts=list(verdicts), unverifiable=list(unverifiable))
+    shown_rows = ordered(listed(issues, [v.sheet_column for v in verdicts if v.blocked]), settings.max_issues)
+    out = Report(issues.sparkSession.createDataFrame(shown_rows.collect(), ISSUE), rows_total=total, rows_valid=valid, rows_skipped=skipped, verdicts=list(verdicts), unverifiable=list(unverifiable))
     for r in rows:
         out.errors += r["count"] * (r["severity"] == "error")
         out.warnings += r["count"] * (r["severity"] == "warning")

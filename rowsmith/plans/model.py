@@ -43,6 +43,8 @@ class Column:
     enum_schema: str = ""
     array_element: str = ""
     formatted: str = ""
+    default: str = ""
+    comment: str = ""
 
     @property
     def family(self) -> str:

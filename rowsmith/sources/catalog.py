@@ -70,8 +70,10 @@ def columns_sql(schema: str, table: str) -> str:
     return (
         "SELECT att.attnum::int AS ord, att.attname::text AS name, ty.typname::text AS udt, tyns.nspname::text AS type_schema, format_type(att.atttypid, att.atttypmod) AS formatted, "
         "NOT att.attnotnull AS nullable, att.atthasdef AS has_default, att.attidentity::text AS identity, att.attgenerated::text AS generated, "
-        "ic.character_maximum_length::int AS max_length, ic.numeric_precision::int AS precision, ic.numeric_scale::int AS scale, coalesce(el.typname::text, '') AS element, ty.typtype::text AS category "
+        "ic.character_maximum_length::int AS max_length, ic.numeric_precision::int AS precision, ic.numeric_scale::int AS scale, coalesce(el.typname::text, '') AS element, ty.typtype::text AS category, "
+        "coalesce(pg_get_expr(def.adbin, def.adrelid), '') AS default_text, coalesce(col_description(rel.oid, att.attnum), '') AS comment "
         f"FROM pg_catalog.pg_attribute att JOIN ({REL}) ON rel.oid = att.attrelid JOIN pg_catalog.pg_type ty ON ty.oid = att.atttypid JOIN pg_catalog.pg_namespace tyns ON tyns.oid = ty.typnamespace "
+        "LEFT JOIN pg_catalog.pg_attrdef def ON def.adrelid = att.attrelid AND def.adnum = att.attnum "
         "LEFT JOIN information_schema.columns ic ON ic.table_schema = ns.nspname AND ic.table_name = rel.relname AND ic.column_name = att.attname "
         f"LEFT JOIN pg_catalog.pg_type el ON el.oid = ty.typelem AND ty.typcategory = 'A' WHERE {_where(schema, table)} AND att.attnum > 0 AND NOT att.attisdropped"
     )
@@ -115,7 +117,40 @@ def sequence_sql(schema: str, table: str, column: str) -> str:
     )
 
 
-PROBE_SQL = "SELECT current_database()::text AS database, current_user::text AS user_name, version() AS version, current_setting('standard_conforming_strings') AS conforming, current_setting('TimeZone') AS timezone"
+PROBE_SQL = (
+    "SELECT current_database()::text AS database, current_user::text AS user_name, version()::text AS version, current_setting('server_version_num')::int AS number, "
+    "current_setting('standard_conforming_strings')::text AS conforming, current_setting('TimeZone')::text AS timezone"
+)
+
+
+@dataclass(frozen=True)
+class Server:
+    """What a server says of itself; conforming: backslashes in plain literals are literal."""
+
+    database: str
+    user: str
+    version: str
+    number: int
+    conforming: bool
+    timezone: str
+
+
+def probe(spark: SparkSession, c: Connection) -> Server:
+    """Ask the server who it is; it also tells whether it can be reached."""
+    r = c.query(spark, PROBE_SQL).first()
+    return Server(r["database"], r["user_name"], r["version"], r["number"], r["conforming"] == "on", r["timezone"])
+
+
+@dataclass(frozen=True)
+class Privileges:
+    can_select: bool = False
+    can_insert: bool = False
+
+
+def privileges(spark: SparkSession, c: Connection, schema: str, table: str) -> Privileges:
+    """What the connected user may do with a table."""
+    r = c.query(spark, privileges_sql(schema, table)).first()
+    return Privileges(bool(r["can_select"]), bool(r["can_insert"]))
 
 
 def privileges_sql(schema: str, table: str) -> str:
@@ -143,7 +178,7 @@ def assemble(schema: str, name: str, columns: DataFrame, labels: DataFrame, cons
     cols = tuple(
         Column(
             r["name"], r["udt"], r["nullable"], r["has_default"], r["max_length"], r["precision"], r["scale"], kinds.get(r["identity"], ""), r["generated"] == "s",
-            tuple(enums.get((r["type_schema"], r["udt"]), ())), r["type_schema"] if r["category"] == "e" else "", r["element"], r["formatted"],
+            tuple(enums.get((r["type_schema"], r["udt"]), ())), r["type_schema"] if r["category"] == "e" else "", r["element"], r["formatted"], *(r[k] or "" for k in ("default_text", "comment") if k in columns.columns),
         )
         for r in columns.orderBy("ord").collect()
     )

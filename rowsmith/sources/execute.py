@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,26 @@ SQLSTATES = {"23505": "E304", "23503": "E305", "23502": "E202", "23514": "E306",
 OTHER_STATE = "E306"
 
 
+class Rejected(RuntimeError):
+    """A statement that the server refused, as an issue."""
+
+    def __init__(self, issue: dict):
+        super().__init__(issue["message"])
+        self.issue = issue
+
+
+def server_issue(plan: Plan, state: str, message: str, column: str = "", constraint: str = "", detail: str = "", row: int | None = None) -> dict:
+    """A server's error as an issue: its state as a code, its column or else its constraint's first planned one as a sheet column."""
+    of_constraint = next((c.columns for c in (*plan.table.constraints, *plan.table.indexes) if c.name == constraint), ())
+    name = column or next((c for c in of_constraint if plan.find(c)), ", ".join(of_constraint))
+    at = plan.find(name)
+    ref = f"{T.column_letter(at.mapping.index)}{row}" if at and row is not None else ""
+    return {
+        "code": state_code(state), "severity": "error", "scope": "cell", "excel_row": row, "excel_column": at.mapping.sheet_column if at else "", "excel_ref": ref,
+        "db_column": name, "value": "", "message": message, "hint": detail.strip(),
+    }
+
+
 class Refused(RuntimeError):
     """A gate before writing that was not passed."""
 
@@ -63,5 +84,12 @@ def execute(rows: DataFrame, plan: Plan, connection: Connection, staging: str, r
     link = jvm.java.sql.DriverManager.getConnection(connection.url, connection.user, connection.password)
     try:
         link.createStatement().execute(publish_sql(plan, staging, setval))
+    except Py4JJavaError as e:
+        told = e.java_exception
+        if not hasattr(told, "getSQLState"):
+            raise
+        parts = told.getServerErrorMessage() if hasattr(told, "getServerErrorMessage") else None
+        more = (parts.getColumn() or "", parts.getConstraint() or "", parts.getDetail() or "") if parts else ()
+        raise Rejected(server_issue(plan, told.getSQLState() or "", connection.redact(told.getMessage() or ""), *more)) from None
     finally:
         link.close()

@@ -9,7 +9,7 @@ from rowsmith.functions.cells import EMPTY, text_of
 from rowsmith.operators.validate import Sheet
 from rowsmith.plans.headers import detect_header, header_names
 from rowsmith.plans.model import Problem
-from rowsmith.sources.xlsx import FORMULA_ROWS, Workbook, count_rows, formula_gaps, read_sheet, typed_rows
+from rowsmith.sources.xlsx import FORMULA_ROWS, Workbook, count_rows, formula_gaps, read_sheet, sampled_date_columns, typed_rows
 
 
 def from_frame(df: DataFrame, row_num: Column, columns: list[str] | None = None, name: str = "sheet") -> Sheet:
@@ -22,9 +22,11 @@ def from_frame(df: DataFrame, row_num: Column, columns: list[str] | None = None,
     return Sheet(df.select(row_num.cast("long").alias("row_num"), *raw), names, name=name)
 
 
-def from_workbook(spark, path: str, sheet: str = "", header_row: int | None = None, data_start: int | None = None) -> Sheet:
+def from_workbook(spark, path: str, sheet: str = "", header_row: int | None = None, data_start: int | None = None, whole_columns: bool = False) -> Sheet:
     """A workbook's sheet: the header row is guessed if not given.  Dates are told by each cell's own style.
 
+    whole_columns: dates are told by column instead: where one of the first rows has a date, all numbers are read as dates.
+
     Formulas without a stored value in the first rows, whose cells read as blanks, are a problem of the sheet (W204).
     """
     book = Workbook.open(path)
@@ -38,7 +40,9 @@ def from_workbook(spark, path: str, sheet: str = "", header_row: int | None = No
     start, (_, last) = data_start or header_row + 1, count_rows(df)
     body = df.where(F.col("row_num").between(start, last))
     cells = [F.get("cells", F.lit(i)) for i in range(len(headers))]
-    return Sheet(body.select("row_num", *[c["raw"].alias(f"c{i}") for i, c in enumerate(cells)], *[c["is_date"].alias(f"d{i}") for i, c in enumerate(cells)]), headers, frozenset(range(len(headers))), book.date1904, sheet or next(iter(book.sheets)), uncalculated(df, start, headers))
+    dates = frozenset(sampled_date_columns(df, start) if whole_columns else range(len(headers)))
+    marks = [] if whole_columns else [c["is_date"].alias(f"d{i}") for i, c in enumerate(cells)]
+    return Sheet(body.select("row_num", *[c["raw"].alias(f"c{i}") for i, c in enumerate(cells)], *marks), headers, dates, book.date1904, sheet or next(iter(book.sheets)), uncalculated(df, start, headers))
 
 
 def uncalculated(df: DataFrame, start: int, headers: list[str]) -> tuple[Problem, ...]:

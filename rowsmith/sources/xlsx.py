@@ -2,19 +2,25 @@
 
 Rows are (row_num, cells), a cell being (raw, is_date, formula): the stored text, whether its number format
 shows a date or time, and its formula.  A zip member cannot be split, so a sheet is read by one task; every
-file of a path with a pattern is a task of its own.  Files are refused that are no zip, hold more than
-2 GB, or are packed more than 50 times.
+file of a path with a pattern is a task of its own.  A path is local, or a URI of a store that pyarrow knows.
+Files are refused that are no zip, say that they hold more than 2 GB or are packed more than 50 times, or turn
+out to while they are read.  A sheet is read as a stream: what is held is a row, and the strings that cells share.
 """
 
 from __future__ import annotations
 
-import glob
+import contextlib
+import fnmatch
+import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
 
+from pyarrow import ArrowInvalid
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -35,11 +41,70 @@ class UnsafeWorkbook(ValueError):
     pass
 
 
+def stored(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a local path or a URI."""
+    if "://" in path and not path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def matching(path: str) -> list[str]:
+    """The files of a path whose last part may be a pattern; the path itself if there are none."""
+    if not any(c in path for c in "*?["):
+        return [path]
+    disk, at = stored(path)
+    folder, _, pattern = at.rpartition("/")
+    head = path[: len(path) - len(pattern)]
+    names = [f.base_name for f in disk.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.type == pafs.FileType.File]
+    return [head + n for n in sorted(names) if fnmatch.fnmatchcase(n, pattern)] or [path]
+
+
+@contextlib.contextmanager
+def archive(path: str) -> Iterator[zipfile.ZipFile]:
+    disk, at = stored(path)
+    local = isinstance(disk, pafs.LocalFileSystem)
+    with open(at, "rb") if local else disk.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+        yield z
+
+
+class Bounded(io.RawIOBase):
+    """A member read as far as the limit, whatever size it claims."""
+
+    def __init__(self, member, limit: int = MAX_BYTES):
+        self.member, self.left = member, limit
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.member.read(len(buffer))
+        self.left -= len(data)
+        if self.left < 0:
+            raise UnsafeWorkbook("a part unpacks to more than it says")
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def elements(z: zipfile.ZipFile, member: str, *tags: str) -> Iterator[ET.Element]:
+    """The elements of these tags of a member, each dropped with all before it once the next is asked for."""
+    with z.open(member) as f:
+        parents: list[ET.Element] = []
+        for event, e in ET.iterparse(io.BufferedReader(Bounded(f)), ("start", "end")):
+            if event == "start":
+                parents.append(e)
+                continue
+            parents.pop()
+            if e.tag in tags:
+                yield e
+                if parents:
+                    parents[-1].clear()
+
+
 def check_archive(path: str) -> None:
     try:
-        with zipfile.ZipFile(path) as z:
+        with archive(path) as z:
             total, packed = sum(i.file_size for i in z.infolist()), sum(i.compress_size for i in z.infolist())
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, ArrowInvalid):
         raise UnsafeWorkbook(f"{path} is not a workbook") from None
     if total > MAX_BYTES or packed and total // packed > MAX_RATIO:
         raise UnsafeWorkbook(f"{path} unpacks to {total} bytes from {packed}")
@@ -57,7 +122,7 @@ class Workbook:
     @classmethod
     def open(cls, path: str) -> Workbook:
         check_archive(path)
-        with zipfile.ZipFile(path) as z:
+        with archive(path) as z:
             names = set(z.namelist())
             book = ET.fromstring(z.read("xl/workbook.xml"))
             targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -75,7 +140,7 @@ class Workbook:
                         styles.add(k)
             strings = []
             if "xl/sharedStrings.xml" in names:
-                strings = ["".join(t.text or "" for t in s.iter(MAIN + "t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(MAIN + "si")]
+                strings = ["".join(t.text or "" for t in s.iter(MAIN + "t")) for s in elements(z, "xl/sharedStrings.xml", MAIN + "si")]
         flag = properties is not None and properties.get("date1904", "0") in ("1", "true")
         return cls(sheets, flag, frozenset(styles), strings)
 
@@ -90,11 +155,9 @@ def place(ref: str) -> int:
 
 def rows(path: str, book: Workbook, sheet: str) -> Iterator[tuple[int, list[tuple]]]:
     """(row_num, cells) in order, reading the sheet as a stream."""
-    with zipfile.ZipFile(path) as z, z.open(book.sheets[sheet]) as f:
+    with archive(path) as z:
         last = 0
-        for _, e in ET.iterparse(f):
-            if e.tag != MAIN + "row":
-                continue
+        for e in elements(z, book.sheets[sheet], MAIN + "row"):
             last = int(e.get("r", last + 1))
             cells: list[tuple] = []
             for c in e.iter(MAIN + "c"):
@@ -112,7 +175,6 @@ def rows(path: str, book: Workbook, sheet: str) -> Iterator[tuple[int, list[tupl
                     raw = "TRUE" if raw == "1" else "FALSE"
                 cells.append((raw, kind == "n" and int(c.get("s", 0)) in book.date_styles, (formula.text or "") if formula is not None else None))
             yield last, cells
-            e.clear()
 
 
 @dataclass
@@ -125,8 +187,7 @@ class XlsxReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[File]:
-        path = self.options["path"].removeprefix("file://").removeprefix("file:")
-        return [File(p) for p in sorted(glob.glob(path)) or [path]]
+        return [File(p) for p in matching(self.options["path"])]
 
     def read(self, partition: File) -> Iterator[tuple]:
         book = Workbook.open(partition.path)
@@ -202,11 +263,7 @@ def merged_ranges(path: str, sheet: str, n_rows: int | None = None) -> tuple[lis
     """Merged ranges, and whether they were looked for: only in sheets of few rows if their number is given."""
     if n_rows is not None and not random_access_affordable(n_rows):
         return [], False
-    book, out = Workbook.open(path), []
-    with zipfile.ZipFile(path) as z, z.open(book.sheets[sheet]) as f:
-        for _, e in ET.iterparse(f):
-            if e.tag == MAIN + "mergeCell":
-                out.append(e.get("ref"))
-            elif e.tag == MAIN + "row":
-                e.clear()
+    book = Workbook.open(path)
+    with archive(path) as z:
+        out = [e.get("ref") for e in elements(z, book.sheets[sheet], MAIN + "row", MAIN + "mergeCell") if e.tag == MAIN + "mergeCell"]
     return out, True

@@ -28,11 +28,14 @@ def against_target(sheet_of: Callable[[DataFrame], Sheet], plan: Plan, target: D
     """A foreachBatch function that gives each batch's keys which the target has to a sink."""
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = evaluated(sheet_of(batch), plan, settings.options)
-        for rule in uniqueness_rules(plan.table):
-            df = _key_rows(rows, plan, rule.columns)
-            if df is not None:
-                known = target.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rule.columns])
-                sink(keys.existing(df, [f"k_{j}" for j in range(len(rule.columns))], known, list(rule.columns)).withColumn("rule", F.lit(rule.name)), number)
+        rows = evaluated(sheet_of(batch), plan, settings.options).persist()  # read by every rule, and an end to the lineage that joins would be planned through
+        try:
+            for rule in uniqueness_rules(plan.table):
+                df = _key_rows(rows, plan, rule.columns)
+                if df is not None:
+                    known = target.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rule.columns])
+                    sink(keys.existing(df, [f"k_{j}" for j in range(len(rule.columns))], known, list(rule.columns)).withColumn("rule", F.lit(rule.name)), number)
+        finally:
+            rows.unpersist()
 
     return run

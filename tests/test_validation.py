@@ -1,10 +1,12 @@
 import struct
+import tracemalloc
 import zipfile
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from rowsmith import cli
 from rowsmith.operators import render, validate
 from rowsmith.operators.checks import Unverifiable, parse_check
 from rowsmith.plans import config, headers, matching, model
@@ -246,3 +248,173 @@ def test_nothing_stays_persisted(spark, tmp_path):
     s.generate(str(tmp_path / "x.sql"))
     s.generate_parts(str(tmp_path / "parts"))
     assert held() == before
+
+
+def write_sheet(path, rows, shared=(), merges=()):
+    """A workbook by hand: rows of cell XML."""
+    main, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/><sheet name="T" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        relation = lambda n: f'<Relationship Id="rId{n}" Type="{rel}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{n}.xml"/>'
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{rel}/package/2006/relationships">{relation(1)}{relation(2)}</Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+        body = "".join(f'<row r="{i}">{c}</row>' for i, c in enumerate(rows, 1))
+        joined = f'<mergeCells>{"".join(f"""<mergeCell ref="{m}"/>""" for m in merges)}</mergeCells>' if merges else ""
+        for n in (1, 2):
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet {main}><sheetData>{body}</sheetData>{joined}</worksheet>")
+
+
+def test_a_long_sheet_is_read_in_bounded_memory(tmp_path):
+    path = str(tmp_path / "long.xlsx")
+    write_sheet(path, (f'<c r="A{i}" t="s"><v>{i % 3}</v></c><c r="B{i}"><v>{i}</v></c>' for i in range(1, 60_001)), ["one", "two", "six"])
+    book, peak, n = xlsx.Workbook.open(path), 0, 0
+    tracemalloc.start()
+    for number, cells in xlsx.rows(path, book, "S"):
+        n += 1
+        assert cells[0][0] == ["one", "two", "six"][number % 3] and cells[1][0] == str(number)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60_000 and peak < 4 << 20
+
+
+def test_an_archive_that_lies_about_its_size_is_stopped(tmp_path, monkeypatch):
+    path = str(tmp_path / "x.xlsx")
+    write_sheet(path, [f'<c r="A{i}"><v>{i}</v></c>' for i in range(1, 2000)])
+    book = xlsx.Workbook.open(path)
+    monkeypatch.setattr(xlsx.Bounded.__init__, "__defaults__", (1000,))
+    with pytest.raises(xlsx.UnsafeWorkbook):
+        list(xlsx.rows(path, book, "S"))
+
+
+def test_files_of_a_pattern_and_of_a_uri(spark, tmp_path):
+    for k in range(3):
+        sheet_writer.write_xlsx(str(tmp_path / f"part{k}.xlsx"), "S", ["n"], [[k]])
+    assert xlsx.read_sheet(spark, f"{tmp_path}/part*.xlsx").count() == 6 and xlsx.read_sheet(spark, f"file://{tmp_path}/part1.xlsx").count() == 2
+    whole = from_workbook(spark, f"{tmp_path}/part2.xlsx", header_row=1, whole_columns=True)
+    assert whole.dates == frozenset() and whole.rows.columns == ["row_num", "c0"]
+
+
+def test_switching_sheets(spark, workbook, tmp_path):
+    path = str(tmp_path / "two.xlsx")
+    text = lambda ref, t: f'<c r="{ref}" t="inlineStr"><is><t>{t}</t></is></c>'
+    write_sheet(path, [text("A1", "name") + text("B1", "note"), text("A2", "x") + text("B2", "y")], merges=["A2:A3"])
+    s = Session(spark)
+    with pytest.raises(NotReady):
+        s.select_sheet("T")
+    s.use_table(Table("public", "t", (Column("name", "text"), Column("note", "text"))))
+    s.open(path)
+    s.mappings = [Mapping("note", 7, "note")]
+    s.layout = config.Config("public", "t", s.mappings, headers=["name", "gone"])
+    got = s.select_sheet("T")
+    assert s.sheets() == ["S", "T"] and got.sheet.name == "T" and got.mappings[0].index == 1 and not got.status.blocking
+    assert [[(c["text"], c["kind"]) for c in r["cells"]] for r in got.preview.collect()] == [[("x", "string"), ("y", "string")]]
+    assert any("A2:A3" in w for w in got.warnings) and "added: note" in got.warnings and "removed: gone" in got.warnings
+
+
+class Server:
+    """A connection that answers from frames."""
+
+    password = ""
+
+    def __init__(self, spark, insert):
+        self.spark, self.insert, self.asked = spark, insert, []
+
+    def query(self, spark, sql):
+        self.asked.append(sql)
+        if sql == catalog.PROBE_SQL:
+            return spark.createDataFrame([("d", "u", "server 17", 170000, "off", "UTC")], "database string, user_name string, version string, number int, conforming string, timezone string")
+        if "can_select" in sql:
+            return spark.createDataFrame([(True, self.insert)], "can_select boolean, can_insert boolean")
+        if "pg_enum" in sql:
+            return spark.createDataFrame([], "type_schema string, udt string, label string, ord double")
+        if "pg_constraint" in sql:
+            return spark.createDataFrame([("p", "u", "", 1, "name", None, None)], "name string, kind string, definition string, ord int, column string, ref_table string, ref_column string")
+        if "pg_index" in sql:
+            return spark.createDataFrame([], "name string, definition string, ord int, column string, expressions boolean")
+        kinds = "ord int, name string, udt string, type_schema string, formatted string, nullable boolean, has_default boolean, identity string, generated string, max_length int, precision int, scale int, element string, category string, default_text string, comment string"
+        return spark.createDataFrame([(1, "name", "text", "pg_catalog", "text", False, True, "", "", None, None, None, "", "b", "'x'::text", "who")], kinds)
+
+    def redact(self, s):
+        return s
+
+
+def test_a_server_is_probed_and_asked_what_is_allowed(spark):
+    s, server = Session(spark), Server(spark, False)
+    assert s.connect(server).version == "server 17" and not s.output.conforming and not s.settings.options.conforming
+    table = s.describe("public", "t")
+    assert (table.columns[0].default, table.columns[0].comment) == ("'x'::text", "who") and not s.privileges.can_insert
+    assert [r.name for r in s.overview()["rules"]] == ["p"] and s.about()["server"] == "server 17"
+    s.open(spark.createDataFrame([(2, "a\\b")], "n long, name string"), F.col("n"))
+    s.mappings = [Mapping("name", 1, "name")]
+    assert s.validate().clean
+    assert " E'a\\\\b'" in "".join(render.script(s._rows(), s.plan, s.output))
+    with pytest.raises(execute.Refused):
+        s.execute("stage", "t")
+    s.close()
+    assert s.connection is None and s.server is None
+
+
+def test_server_errors_name_the_sheet_column():
+    plan = model.build_plan(MAPPINGS, CUSTOMERS)
+    issue = execute.server_issue(plan, "23505", "duplicate", constraint="customers_email_key", detail=" Key exists. ", row=9)
+    assert (issue["code"], issue["excel_column"], issue["excel_ref"], issue["db_column"], issue["hint"]) == ("E304", "Email", "B9", "email", "Key exists.")
+    assert execute.server_issue(plan, "22001", "too long", column="name")["excel_column"] == "Customer" and execute.server_issue(plan, "99999", "?")["code"] == "E306"
+
+
+def test_condemned_columns_are_counted_but_not_listed(spark):
+    rows = [(f"e{i}@x", "abc" if i % 2 else str(i + 20), "N") for i in range(40)]
+    r = validate.validate(sheet_of(spark, rows, ["email", "age", "region"]), model.build_plan(THREE, PEOPLE), validate.Settings(stop_at_sample=False))
+    assert r.by_code == {"E104": 1, "E201": 20} and [i["code"] for i in r.issues.collect()] == ["E104"] and r.rows_total == 40
+
+
+def test_rehearsal_and_what_was_looked_at(spark):
+    regions = spark.createDataFrame([("N",)], "code string")
+    s = Session(spark)
+    s.use_table(PEOPLE, spark.createDataFrame([("a@x",)], "email string"), {"regions": regions})
+    s.sheet, s.mappings = sheet_of(spark, [("a@x", "20", "N"), ("b@x", "20", "Q")], ["email", "age", "region"]), THREE
+    assert s.rehearse().by_code == {"E302": 1, "E305": 1} and not s.rehearsed
+    s.target = s.target.limit(0)
+    s.sheet = sheet_of(spark, [("b@x", "20", "N")], ["email", "age", "region"])
+    assert s.rehearse().clean and "rehearsal" in s.settings.describe(s.rehearsed)
+
+
+def test_command_line(spark, workbook, tmp_path, capsys):
+    s = Session(spark)
+    s.use_table(CUSTOMERS)
+    s.open(workbook)
+    s.map(*MAPPINGS)
+    s.save(str(tmp_path / "layout.json"))
+    base = ["--config", str(tmp_path / "layout.json"), "--file", workbook, "--database", "d", "--user", "u"]
+    out = str(tmp_path / "out.sql")
+
+    def run(*argv):
+        return cli.run(cli.parser().parse_args(list(argv)), Session(spark, table=CUSTOMERS))
+
+    assert run("validate", *base) == cli.DONE and "3 rows, 3 valid" in capsys.readouterr().out
+    assert run("validate", *base, "--json") == cli.DONE and '"errors": 0' in capsys.readouterr().out
+    assert run("import", *base, "--out", out, "--mode", "copy") == cli.DONE
+    assert f"{out}: " in capsys.readouterr().out and "COPY" in open(out).read() and render.head_lines(out, 2)[1].endswith("Generated import script")
+    assert run("import", *base, "--out", out) == cli.USAGE
+    assert cli.main(["nothing"]) == cli.USAGE
+    bad = str(tmp_path / "bad.xlsx")
+    sheet_writer.write_xlsx(bad, "Sheet1", HEADERS, [["", "x", "1", "Neu", "abc", 45366, ""]] * 4, frozenset({5}))
+    base[3] = bad
+    assert run("validate", *base) == cli.DATA and "column Credit Limit" in capsys.readouterr().out
+    sheet_writer.write_xlsx(bad, "Sheet1", HEADERS[:-1], [["a"] * 6])
+    assert run("validate", *base) == cli.SETUP
+
+
+def test_streams_against_a_target_and_first_keys(spark, tmp_path):
+    from rowsmith.streaming import incremental
+
+    spark.createDataFrame([("a@x", "20", "N", "2024-01-01 00:00:00"), ("b@x", "30", "N", "2024-01-01 00:00:01"), ("a@x", "20", "N", "2024-01-01 00:00:02")], "email string, age string, region string, at string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("email string, age string, region string, at string").parquet(str(tmp_path / "in"))
+    found = []
+    sheet = lambda df: from_frame(df, F.lit(1), ["email", "age", "region"])
+    run = incremental.against_target(sheet, model.build_plan(THREE, PEOPLE), spark.createDataFrame([("b@x",)], "email string"), lambda df, n: found.extend(df.collect()))
+    stream().writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r["k_0"], r["rule"]) for r in found] == [("b@x", "pk")]
+    first = incremental.first_seen(stream().withColumn("at", F.to_timestamp("at")), ["email"], "at", "1 hour")
+    q = first.writeStream.format("memory").queryName("first").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["email"] for r in spark.table("first").collect()) == ["a@x", "b@x"]
