@@ -24,6 +24,8 @@ DATE_FORMAT_IDS = [14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47]
 PHANTOM_SERIAL = 60
 PHANTOM = "serial 60, which names a leap day that 1900 did not have"
 SIGNIFICANT = 15
+#: Day numbers that a timestamp can hold, from the first day that the server keeps; a date beyond has no ts.
+FIRST_SERIAL, LAST_SERIAL = -2_415_018, 106_700_000
 
 
 def looks_numeric(s: Column) -> Column:
@@ -102,7 +104,7 @@ def assembled(raw: Column, norm: Column, cut: Column, num: Column, good: Column,
     text = F.when(cut == "", F.lit(None)).when(phantom, PHANTOM).when(plain & (good != num), number_text(good)).otherwise(norm)
     return F.struct(
         kind.alias("kind"), text.alias("str"), F.when(plain, good).alias("num"), F.when(is_bool, norm == "TRUE").alias("bool"),
-        F.when(as_date & ~phantom, from_serial(num, date1904)).alias("ts"), raw.alias("raw"),
+        F.when(as_date & ~phantom & num.between(FIRST_SERIAL, LAST_SERIAL), from_serial(num, date1904)).alias("ts"), raw.alias("raw"),
     )
 
 
@@ -110,14 +112,14 @@ def text_of(cell: Column) -> Column:
     """What a cell says as text."""
     return (
         F.when(cell["kind"] == EMPTY, F.lit("")).when(cell["kind"] == BOOL, F.when(cell["bool"], "TRUE").otherwise("FALSE"))
-        .when(cell["kind"] == DATE, F.date_format(cell["ts"], "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(cell["kind"] == ERROR, cell["raw"])
+        .when(cell["kind"] == DATE, F.coalesce(F.date_format(cell["ts"], "yyyy-MM-dd'T'HH:mm:ss'Z'"), cell["raw"])).when(cell["kind"] == ERROR, cell["raw"])
         .otherwise(F.coalesce(cell["str"], number_text(cell["num"])))
     )
 
 
 def shown(cell: Column) -> Column:
     """For previews and reports."""
-    return shortened(F.when(cell["kind"] == DATE, F.date_format(cell["ts"], "yyyy-MM-dd HH:mm:ss")).otherwise(text_of(cell)))
+    return shortened(F.when((cell["kind"] == DATE) & cell["ts"].isNotNull(), F.date_format(cell["ts"], "yyyy-MM-dd HH:mm:ss")).otherwise(text_of(cell)))
 
 
 def is_date_format(number: int, code: str = "") -> bool:

@@ -523,3 +523,6 @@ def setval_maximum(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of a dirty customer sheet, counted by code and column."""
     return customer_run(spark, sf_dir)[2].groupBy("code", "db_column").agg(F.count("*").alias("n"))
+
+
+import rowsmith.queries_more  # noqa: E402,F401  registers the queries that go through files, catalogs, sessions and streams
