@@ -3,7 +3,8 @@
 Archives are files of gzip members, a record each, so that a reader may begin at any member.  Reading tasks
 own byte ranges: each scans its range for the gzip magic, takes a place for a member's start only if it
 decodes there to a header of a WARC record, and owns the records that start inside its range, reading past
-its end for the last.  No index and no order of records is needed.
+its end for the last.  A range's first candidate is taken only if its member ends where another one begins or the
+file ends: a payload may hold a whole archive.  No index and no order of records is needed.
 
 Payloads of equal bytes, of at least LEAST_BYTES, are stored once: by the record of the smallest page_id.
 The others are revisit records that refer to it and have no payload; a header carries its length, as
@@ -89,6 +90,15 @@ class Stream:
     def drop(self, n: int) -> None:
         self.held, self.at = self.held[n:], self.at + n
 
+    def take(self) -> bytes:
+        """What is held, or else the next bytes; none at the end."""
+        data = self.held or self.file.read(CHUNK)
+        self.held, self.at = b"", self.at + len(data)
+        return data
+
+    def give_back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held, self.at - len(data)
+
 
 def starts_here(data: bytes) -> bool:
     """Whether a member of a WARC record begins here: it decodes, to such a header."""
@@ -101,7 +111,7 @@ def starts_here(data: bytes) -> bool:
 
 def records(file, lo: int, hi: int, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records that start in bytes lo to hi."""
-    s = Stream(file, lo, size)
+    s, sure = Stream(file, lo, size), lo == 0
     while s.at < hi:
         data = s.want(HEAD)
         if not data:
@@ -118,19 +128,25 @@ def records(file, lo: int, hi: int, size: int) -> Iterator[tuple[dict[str, str],
         if not starts_here(s.want(HEAD)):
             s.drop(1)
             continue
-        z, out, at = zlib.decompressobj(31), [], 0
-        while not z.eof:  # through the member, which may be longer than what is held
-            data = s.want(at + CHUNK)[at:]
-            if not data:
-                raise ValueError(f"member at {s.at} is cut short")
-            out.append(z.decompress(data))
-            at += len(data) - len(z.unused_data)
+        start, z, out = s.at, zlib.decompressobj(31), []
+        try:
+            while not z.eof:  # through the member, which may be longer than what is held
+                if not (data := s.take()):
+                    raise ValueError(f"member at {start} is cut short")
+                out.append(z.decompress(data))
+            s.give_back(z.unused_data)
+            sure = sure or not s.want(1) or starts_here(s.want(HEAD))
+        except (ValueError, zlib.error):
+            if sure:
+                raise
+        if not sure:  # part of a payload, not a record
+            s = Stream(file, start + 1, size)
+            continue
         yield parse(b"".join(out))
-        s.drop(at)
 
 
 def with_references(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to.  Only repeated payloads take part in the join."""
+    """page_id, url, html, digest and refers_to.  Every page is joined by its digest, with a row for each repeated payload."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     firsts = rows.where((F.octet_length("html") >= LEAST_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
