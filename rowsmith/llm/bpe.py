@@ -31,6 +31,8 @@ from rowsmith.llm.tokenizing import PRETOKEN, default_vocabulary, vocabulary
 
 #: Fragments a worker remembers, at each of two grains.
 MEMORY = 700_000
+#: Bytes of text that a task encodes at once.
+AT_ONCE = 4 << 20
 #: Fragments of more bytes are merged with a heap.
 LONG = 48
 NONE = 1 << 40
@@ -125,6 +127,8 @@ class Forced:
             if got is None:
                 got = self.of_word(w)
                 if len(w) <= 64:
+                    if len(narrow) > MEMORY:  # within one very long text too
+                        narrow.clear()
                     narrow[w] = got
             out.append(got)
         return b"".join(out)
@@ -142,6 +146,8 @@ class Forced:
             if got is None:
                 got = self.of_piece(p)
                 if len(p) <= 64:
+                    if len(wide) > MEMORY:
+                        wide.clear()
                     wide[p] = got
             out.append(got)
         return b"".join(out)
@@ -150,9 +156,6 @@ class Forced:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        for seen in (self.wide, self.narrow):
-            if len(seen) > MEMORY:
-                seen.clear()
         if not self.specials or not any(s in text for s in self.special):
             return self.of_span(text)
         return b"".join(struct.pack("<I", self.special[t]) if t in self.special else self.of_span(t) for t in self.specials.split(text) if t)
@@ -175,7 +178,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         code = forced(path)
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(map(code.encode, texts(batch)), pa.binary())], names=["doc_id", "ids"])
 
-    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, ids binary", AT_ONCE)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -191,7 +194,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             decoded.append(hashed(code.decode(packed).encode()))
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", AT_ONCE)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
