@@ -39,6 +39,8 @@ FOLDS, HELD_FOLD, CALIBRATION_FOLD = 4, 2, 3
 BLANK, OTHER = 32, 0xFFFE
 #: Characters worked on at once, and the slots of a worker's memory of 4-grams (a power of two).
 SPAN, SLOTS = 1 << 20, 1 << 20
+#: Bytes of text that a task predicts at once.
+AT_ONCE = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -302,7 +304,7 @@ def identified(docs: DataFrame, found: Identifier) -> DataFrame:
         names, score, least, rejected = model.value.predict(texts(batch))
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(least), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return per_batch(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean", AT_ONCE)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ back can be split where a passage is very frequent, so no task holds all occurre
 shuffled twice: to open spans, and to remove words.
 
 Words are separated by ASCII white space and compared as they are.  A null text has no words and stays
-null; texts of fewer words than a window are left alone.  Rows are told apart by doc_id and a hash of
-their text, so null and repeated doc_ids are allowed; repeated rows repeat each other's windows.  An empty
+null; texts of fewer words than a window are left alone.  Rows are told apart by doc_id and a 64-bit
+hash of their text, so null and repeated doc_ids are allowed; repeated rows repeat each other's windows.  An empty
 table gives no rows.
 """
 
@@ -78,7 +78,7 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
         cols = [pa.array(name[begins].view(np.int64)), pa.array(s.view(np.int64)), column(batch, "doc_id").take(of), column(batch, "th").take(of), pa.array((lo - at[doc[begins]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.where(in_run, n, 1).astype(np.int32))]
         return pa.RecordBatch.from_arrays(cols, names=["a", "s", "doc_id", "th", "w0", "n", "weight"])
 
-    return per_batch(docs.select(*KEY, "text"), run, "a long, s long, doc_id long, th int, w0 int, n int, weight int", AT_ONCE)
+    return per_batch(docs.select(*KEY, "text"), run, "a long, s long, doc_id long, th long, w0 int, n int, weight int", AT_ONCE)
 
 
 def opened(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
@@ -98,7 +98,7 @@ def opened(docs: DataFrame, spans: DataFrame, window: int) -> DataFrame:
         cols = [pa.array(a[k]), pa.array(h.view(np.int64)), column(batch, "doc_id").take(row), column(batch, "th").take(row), pa.array(w.astype(np.int32)), pa.array(c[k])]
         return pa.RecordBatch.from_arrays(cols, names=["a", "h", "doc_id", "th", "w0", "c"])
 
-    return per_batch(with_key(docs, by_doc, "inner").select("doc_id", "th", "text", "spans"), run, "a long, h long, doc_id long, th int, w0 int, c long", AT_ONCE)
+    return per_batch(with_key(docs, by_doc, "inner").select("doc_id", "th", "text", "spans"), run, "a long, h long, doc_id long, th long, w0 int, c long", AT_ONCE)
 
 
 def with_key(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
@@ -141,7 +141,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kept is null where nothing is removed; the text is then the row's own.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.hash("text").alias("th"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     found = repeats(rows.select(*KEY, "text"), window)
     by_doc = found.groupBy(*KEY).agg(F.collect_list(F.struct("w0", "n")).alias("runs"))
 
@@ -165,7 +165,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     joined = with_key(rows, by_doc, "left").select("row", "text", "runs")
     schema = StructType([joined.schema["row"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return per_batch(joined, run, schema)
+    return per_batch(joined, run, schema, AT_ONCE)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
