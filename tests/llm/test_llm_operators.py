@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -473,6 +474,33 @@ def test_warc(spark, none):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_an_archive_inside_a_payload_is_no_record(tmp_path):
+    """Wherever a range begins, also inside a stored payload that is an archive itself."""
+    inner = warc.member(warc.record(9, "http://in", b"inner" * 9, "x", None))
+    whole = warc.record(1, "http://out", b"<<" + inner + b">>" + bytes(200), "y", None)
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    data = c.compress(whole) + c.flush() + warc.member(warc.record(2, "http://next", b"z" * 500, "z", None))
+    assert inner in data
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    for step in (40, 97, 301, len(data)):
+        found = []
+        with open(path, "rb") as f:
+            for lo in range(0, len(data), step):
+                found += [r[0]["warc-target-uri"] for r in warc.records(f, lo, min(lo + step, len(data)), len(data))]
+        assert found == ["http://out", "http://next"], step
+
+
+def test_a_long_record_is_read_in_linear_time(tmp_path):
+    payload = np.random.default_rng(1).integers(0, 256, 40_000_000, np.uint8).tobytes()
+    path = tmp_path / "b.warc.gz"
+    path.write_bytes(warc.member(warc.record(1, "u", payload, "y", None)))
+    began = time.process_time()
+    with open(path, "rb") as f:
+        ((_, block),) = warc.records(f, 0, path.stat().st_size, path.stat().st_size)
+    assert block == payload and time.process_time() - began < 5
+
+
 def test_language(docs, rows, none):
     model = language.train(docs, 100, 60)
     assert model.names == ["de", "en", "fr"]
