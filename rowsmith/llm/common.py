@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -50,7 +51,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _HELD:
+        _HELD[-1].append(found)
+    return found
+
+
+#: Frames settled within the scratch() blocks that are open, innermost last.
+_HELD: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is settled in this block is deleted at its end, but for the frames put into the list it gives."""
+    keep: list[DataFrame] = []
+    _HELD.append([])
+    try:
+        yield keep
+    finally:
+        discard(spark, *[df for df in _HELD.pop() if not any(df is k for k in keep)])
+        for outer in _HELD[-1:]:
+            outer += keep
 
 
 def discard(spark: SparkSession, *frames: DataFrame) -> None:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowsmith.llm.common import column, discard, documents, per_batch, settle, sweep, texts
+from rowsmith.llm.common import column, discard, documents, per_batch, scratch, settle, sweep, texts
 from rowsmith.llm.components import components
 
 SHINGLE, SEED, REACH, CROWD = 4, 42, 4, 1000
@@ -157,11 +157,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD,
 def placed(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD, blocks: int | None = None) -> DataFrame:
     """doc_id, th (a hash of the text), fp, root (the component's least fingerprint) and component_id of every row."""
     spark = docs.sparkSession
-    fps = settle(fingerprints(docs, shingle), "fingerprints")
-    vertices = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
-    joined = components(links(vertices.select("fp"), crowd, blocks))
+    with scratch(spark) as keep:
+        fps = settle(fingerprints(docs, shingle), "fingerprints")
+        vertices = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
+        found = named(vertices, components(links(vertices.select("fp"), crowd, blocks)))
+        keep += [fps, found]
     sweep(spark)
-    return fps.join(named(vertices, joined), "fp", "left")
+    return fps.join(found, "fp", "left")
 
 
 def named(vertices: DataFrame, joined: DataFrame) -> DataFrame:

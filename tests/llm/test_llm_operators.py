@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import time
@@ -11,12 +12,13 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark import SparkConf
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from rowsmith.llm import bpe, components, fingerprints, jaccard, language, packing, quality, recompression, simhash, substrings, token_files, toxicity, warc
-from rowsmith.llm.common import shared_dir
+from rowsmith.llm.common import scratch, settle, shared_dir
 from rowsmith.llm.tokenizing import default_vocabulary, encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -268,6 +270,33 @@ def test_grids_never_miss_links(spark, blocks):
     assert simhash.blocks_for(10**3) == 7 < simhash.blocks_for(10**9) <= 16
 
 
+def test_shared_folders(spark, tmp_path, monkeypatch):
+    """A folder without a scheme belongs to the default file system; what a block settles goes, but for what it keeps."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert shared_dir(spark, "x").startswith("file:/")
+    before, get = conf.get("fs.defaultFS"), type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: "/some/where" if key == "spark.checkpoint.dir" else get(self, key, *a))
+    try:
+        assert re.match(r"file:/+some/where/rowsmith/x-", shared_dir(spark, "x"))
+        conf.set("fs.defaultFS", "viewfs://far/")
+        conf.set("fs.viewfs.mounttable.far.link./some", f"file://{tmp_path}")
+        assert shared_dir(spark, "x").startswith("viewfs://far/some/where/rowsmith/x-")
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+        monkeypatch.undo()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://far:7077")
+    monkeypatch.setattr(spark.sparkContext, "getConf", lambda: SparkConf(False))
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: a[0] if a else None)
+    with pytest.raises(RuntimeError):
+        shared_dir(spark, "x")
+    monkeypatch.undo()
+    with scratch(spark) as keep:
+        a, b = settle(spark.range(3), "a"), settle(spark.range(4), "b")
+        keep.append(b)
+    paths = [f.inputFiles()[0].removeprefix("file://") for f in (a, b)]
+    assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 4
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 160)] + [(5, 5)]
