@@ -36,8 +36,8 @@ from rowsmith.llm.tokenizing import default_vocabulary, encoder
 
 MAGIC, HEADER = b"RSTOKID1", struct.Struct("<8sIIQQ")
 END_ID, BLOCK = 2, 4096
-#: Ids that one reading task takes on, but for a longer document.
-READ_IDS = 4_000_000
+#: Ids that one reading task takes on, but for a longer document, and the tasks beyond which they take on more: the driver lists them.
+READ_IDS, MOST_TASKS = 4_000_000, 100_000
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -165,6 +165,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = END_ID) -> DataFra
 def read(spark: SparkSession, files: list, at_once: int = READ_IDS) -> DataFrame:
     """One row for each document of the files of write(), in any order."""
     tasks, base = [], 0
+    at_once = max(at_once, sum(f["ids"] for f in files) // MOST_TASKS)
     for f in sorted(files, key=lambda f: f["part"]):
         step = max(1, int(f["docs"] * at_once / max(1, f["ids"])))
         tasks += [(f["uri"], f["bytes"], base, lo, min(lo + step, f["docs"])) for lo in range(0, f["docs"], step)]

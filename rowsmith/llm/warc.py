@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from rowsmith.llm.common import bounded, commit_file, shared_dir, store
 
 LEAST_BYTES, MAGIC, RANGE = 100, b"\x1f\x8b\x08", 16 << 20
+#: Ranges beyond which they grow: the driver lists them.
+MOST_RANGES = 100_000
 #: Read at once while scanning, and enough of a member to hold a record's headers.
 CHUNK, HEAD = 1 << 20, 1 << 16
 #: Copies that the row of a repeated payload is dealt to, so that a payload of very many pages is joined by many tasks.
@@ -182,6 +184,7 @@ def read(spark: SparkSession, archives: list, size: int = RANGE) -> DataFrame:
 
     payload_digest is of the payload where there is one, and must be what its header says.
     """
+    size = max(size, sum(a["bytes"] for a in archives) // MOST_RANGES)
     tasks = [(a["uri"], lo, min(lo + size, a["bytes"]), a["bytes"]) for a in archives for lo in range(0, a["bytes"], size)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
