@@ -49,9 +49,9 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]],
     return ids, [(as_bytes(a), as_bytes(b)) for a, b in pairs], special
 
 
-#: White space before a space, where the space is no certain boundary: in ASCII, and in all texts.
-ASCII_WHITE = [c + " " for c in map(chr, range(128)) if c.isspace()]
-WHITE = ASCII_WHITE + [c + " " for c in map(chr, range(128, 0x3001)) if c.isspace()]
+#: White space before a space, where the space is no certain boundary; and what a piece must not end in, nor be, to stand among others.
+WHITE = "[" + "".join(rf"\x{{{c:X}}}" for c in range(0x3001) if chr(c).isspace()) + "]"
+UNSURE, OPEN_END = f"{WHITE} ", f"(^|{WHITE})$"
 #: Pieces that a worker remembers, the longest of them in bytes, and characters of new ones that are encoded as one text.
 MEMORY, LONGEST, AT_ONCE = 1_000_000, 64, 1 << 18
 NONE = np.zeros(0, "<u4")
@@ -63,11 +63,9 @@ class Pieces:
     def __init__(self):
         self.strings, self.start, self.size, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), NONE
 
-    def add(self, strings: pa.Array, ids: list[np.ndarray]) -> None:
-        size = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *ids])
+    def add(self, strings: pa.Array, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.start, self.size = np.concatenate([self.start, len(self.flat) + start]), np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
         self.strings = pa.concat_arrays([self.strings, strings])
 
 
@@ -93,29 +91,32 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, wanted: list[str]) -> list[np.ndarray]:
-        """Ids of each piece with a space before it.  Pieces that end in a sign are encoded as one text, whose ids are dealt out by their bytes."""
-        out: list[np.ndarray] = [NONE] * len(wanted)
-        sure = [k for k, p in enumerate(wanted) if p and not p[-1].isspace()]
-        lo = size = 0
-        for k, i in enumerate(sure):
-            size += len(wanted[i])
-            if size > AT_ONCE or k + 1 == len(sure):
-                self._deal([wanted[j] for j in sure[lo : k + 1]], sure[lo : k + 1], out)
-                lo, size = k + 1, 0
-        rest = [k for k, p in enumerate(wanted) if not p or p[-1].isspace()]
-        for k, ids in zip(rest, self._each([" " + wanted[k] for k in rest])):
-            out[k] = ids
-        return out
-
-    def _deal(self, parts: list[str], places: list[int], out: list[np.ndarray]) -> None:
-        ids = self._each([" " + " ".join(parts)])[0]
-        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([1 + len(p.encode()) for p in parts])
-        at = np.searchsorted(ends, wanted)
-        if not np.array_equal(ends[at], wanted):
-            raise ValueError("a token crosses a boundary that was taken as certain")
-        for k, part in zip(places, np.split(ids, at[:-1] + 1)):
-            out[k] = part
+    def pieces(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each piece with a space before it, as start and size in all ids.
+
+        Pieces that end in a sign are encoded as one text, whose ids are dealt out by their bytes.
+        """
+        words, length = wanted.to_pylist(), pc.binary_length(wanted).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        alone = pc.match_substring_regex(wanted, OPEN_END).to_numpy(zero_copy_only=False)
+        start, size, flat, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [NONE], 0
+        sure, rest = np.flatnonzero(~alone), np.flatnonzero(alone)
+        for part in np.split(sure, np.flatnonzero(np.diff(np.cumsum(length[sure]) // AT_ONCE)) + 1):
+            if not len(part):
+                continue
+            ids = self._each([" " + " ".join([words[k] for k in part])])[0]
+            ends, wanted_ends = np.cumsum(self.sizes[ids]), np.cumsum(length[part])
+            hi = np.searchsorted(ends, wanted_ends) + 1
+            if not np.array_equal(ends[hi - 1], wanted_ends):
+                raise ValueError("a token crosses a boundary that was taken as certain")
+            size[part] = np.diff(hi, prepend=0)
+            start[part] = total + hi - size[part]
+            flat.append(ids)
+            total += len(ids)
+        for k, ids in zip(rest, self._each([" " + words[k] for k in rest])):
+            start[k], size[k] = total, len(ids)
+            flat.append(ids)
+            total += len(ids)
+        return start, size, np.concatenate(flat)
 
     def ids(self, text: str | None) -> list[int]:
         return self.encode([text])[0].tolist()
@@ -123,10 +124,10 @@ class Encoder:
     def encode(self, batch: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text, with `end` after them if given."""
         out: list[np.ndarray] = [NONE] * len(batch)
-        sure, odd = [], []
-        for k, t in enumerate(batch):
-            if t:
-                (odd if any(w in t for w in (ASCII_WHITE if t.isascii() else WHITE)) or any(s in t for s in self.special) else sure).append(k)
+        some = [k for k, t in enumerate(batch) if t]
+        unsure = pc.match_substring_regex(pa.array([batch[k] for k in some], pa.large_string()), UNSURE).to_pylist()
+        odd = [k for k, u in zip(some, unsure) if u or any(s in batch[k] for s in self.special)]
+        sure = [k for k in some if k not in set(odd)] if odd else some
         for k, ids in zip(odd, self._each([batch[k] for k in odd])):
             out[k] = ids
         if sure:
@@ -145,28 +146,25 @@ class Encoder:
             self.memory = Pieces()
         at = pc.index_in(words, value_set=self.memory.strings)
         missing = pc.is_null(at)
-        new = words.filter(missing)
-        found = self.pieces(new.to_pylist())
+        new, base = words.filter(missing), self.memory
+        start1, n, more = self.pieces(new)
         short = pc.less_equal(pc.binary_length(new), LONGEST)
-        base = self.memory
         start, size, flat = base.start, base.size, base.flat
-        n = np.array([len(x) for x in found], np.int64)
         place, m = np.empty(len(words), np.int64), missing.to_numpy(zero_copy_only=False)
         place[~m] = at.drop_null().to_numpy()
-        place[m] = len(start) + np.arange(len(found))
+        place[m] = len(start) + np.arange(len(new))
         firsts = self._each([t.partition(" ")[0] for t in texts])  # no space before them
         n1 = np.array([len(x) for x in firsts], np.int64)
-        start = np.concatenate([start, len(flat) + np.cumsum(n) - n, len(flat) + n.sum() + np.cumsum(n1) - n1])
+        start = np.concatenate([start, len(flat) + start1, len(flat) + len(more) + np.cumsum(n1) - n1])
         size = np.concatenate([size, n, n1])
-        flat = np.concatenate([flat, *found, *firsts])
+        flat = np.concatenate([flat, more, *firsts])
         code = place[code]
         code[offsets[:-1]] = len(start) - len(firsts) + np.arange(len(firsts))
         each = size[code]
         ends = np.concatenate([[0], np.cumsum(each)])
         ids = flat[np.repeat(start[code] - ends[:-1], each) + np.arange(ends[-1])]
-        keep = np.flatnonzero(short.to_numpy(zero_copy_only=False))
-        if len(keep):
-            base.add(new.filter(short), [found[k] for k in keep])
+        keep = short.to_numpy(zero_copy_only=False)
+        base.add(new.filter(short), start1[keep], n[keep], more)
         return np.split(ids, ends[offsets[1:-1]])
 
 

@@ -19,7 +19,7 @@ import __spark_entry__
 import corpus_pipeline
 from rowsmith.llm import bpe, components, fingerprints, jaccard, language, packing, quality, recompression, simhash, substrings, token_files, toxicity, warc
 from rowsmith.llm.common import scratch, settle, shared_dir
-from rowsmith.llm.tokenizing import default_vocabulary, encoder
+from rowsmith.llm.tokenizing import default_vocabulary, encoder, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,6 +83,25 @@ def test_engine_equals_library(rows):
     assert all(e.ids(t) == e.whole(t) for t in texts)
 
 
+def test_engine_equals_library_around_every_sign():
+    """White space of any kind before and after blanks, and all other signs, by the thousand in one batch."""
+    e = encoder(default_vocabulary())
+    points = [c for c in [*range(1, 0x3100), *range(0x3100, 0x110000, 37)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)} b{chr(c)}{chr(c)} {chr(c)}x {chr(c)}" for c in points]
+    assert all(ids.tolist() == e.whole(t) for ids, t in zip(e.encode(texts), texts))
+
+
+def test_vocabularies_that_change_texts_are_refused(tmp_path):
+    import json
+
+    with open(default_vocabulary(), encoding="utf-8") as f:
+        j = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": j["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "v.json").write_text(json.dumps(j | change))
+        with pytest.raises(ValueError):
+            vocabulary.__wrapped__(str(tmp_path / "v.json"))
+
+
 def test_bpe(docs, rows, none):
     whole = library()
     want = collections.Counter()
