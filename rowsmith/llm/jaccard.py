@@ -3,13 +3,17 @@
 A text is the set of its shingles of five words, as 64-bit hashes; two texts are near-duplicates if their sets'
 Jaccard similarity, exactly computed, is 0.8 or more.  Equal sets are one vertex.
 
-A fingerprint of 64 bits cannot tell 0.8 from less (two such texts differ in about ten bits, give or take three), so
-candidates are found in another way, and operator 2's embedding judges them on the sets themselves: a set is a sparse
-bitmap of 2^64 bits, its bits are counted in 32 segments, and the Manhattan distance of two sets' counts is at most the
-number of shingles in which they differ, which is at most a ninth of both sizes for a near pair.  Shingles that no
-other set has are counted apart, as they differ from everything.
+Candidates come from operator 2's method first: the sets' 64-bit fingerprints, their segment popcounts, the range join of
+these on grids under the Manhattan distance, and the bits.  Sets of one fingerprint are candidates with the least of
+them, which stands for all in the join.  Every candidate is then verified on the sets.
 
-Candidates share a band: the minima of a set under ROWS of BANDS * ROWS permutations.  A pair of similarity s
+That reaches 4 bits, while two texts of similarity 0.8 differ in about ten, give or take three, which no 64 bits tell
+from less.  So what it leaves apart is searched further, with operator 2's embedding on the sets themselves: a set is
+a sparse bitmap of 2^64 bits, its bits are counted in 32 segments, and the Manhattan distance of two sets' counts is at
+most the number of shingles in which they differ, which is at most a ninth of both sizes for a near pair.  Shingles
+that no other set has are counted apart, as they differ from everything.
+
+These further candidates share a band: the minima of a set under ROWS of BANDS * ROWS permutations.  A pair of similarity s
 shares none with chance (1 - s^ROWS)^BANDS, at 0.8 about 5e-9 and less above, so the candidate search is not exact
 but all of that chance is in it.  No candidate is left out: of each band's members first one, then others are compared
 with all (linear, and enough for most copies of one text; those that meet most others come first, as the text that
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 
 from rowsmith.llm.common import column, discard, per_batch, scratch, settle, sweep, texts
 from rowsmith.llm.components import components
-from rowsmith.llm.simhash import SEED, named, one_of_each, text_hash
+from rowsmith.llm.simhash import SEED, folded, named, one_of_each, text_hash
+from rowsmith.llm.simhash import links as fingerprint_links
 
 SHINGLE, BANDS, ROWS, LEADERS = 5, 48, 5, 3
 #: Shingles whose permutations are computed at once.
@@ -79,14 +84,23 @@ def manhattan(a: str, b: str) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, th, fp (the identity of the set) and keys (of its bands) of each row."""
+    """doc_id, th, fp (the identity of the set), sim (its fingerprint) and keys (of its bands) of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t) for t in texts(batch)]
-        cols = [pa.array([identity(s) for s in found], pa.int64()), pa.array([bands(s) for s in found], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), *cols], names=["doc_id", "th", "fp", "keys"])
+        cols = [pa.array([f(s) for s in found], pa.int64()) for f in (identity, folded)] + [pa.array([bands(s) for s in found], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "th"), *cols], names=["doc_id", "th", "fp", "sim", "keys"])
+
+    return per_batch(docs.select("doc_id", "text", text_hash().alias("th")), run, "doc_id long, th long, fp long, sim long, keys array<long>")
+
 
-    return per_batch(docs.select("doc_id", "text", text_hash().alias("th")), run, "doc_id long, th long, fp long, keys array<long>")
+def ranged(vertices: DataFrame) -> DataFrame:
+    """Candidates (u, v) by operator 2's range join of the fingerprints of vertices (fp, sim)."""
+    firsts = settle(vertices.groupBy("sim").agg(F.min("fp").alias("first")), "firsts")
+    alike = vertices.join(firsts, "sim").where("fp <> first").select(*_pair("fp", "first"))
+    a, b = firsts.select(F.col("sim").alias("u"), F.col("first").alias("x")), firsts.select(F.col("sim").alias("v"), F.col("first").alias("y"))
+    near = fingerprint_links(firsts.select(F.col("sim").alias("fp"))).join(a, "u").join(b, "v").select(*_pair("x", "y"))
+    return settle(alike.unionByName(near).distinct(), "ranged")
 
 
 def sets(docs: DataFrame, vertices: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,9 +128,13 @@ def _pair(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of bands that links do not connect yet, with their roots."""
-    roots = components(links)
+def _stars(roots: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what roots (u, root) say is connected."""
+    return roots.select("u", F.col("root").alias("v"))
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of bands that lie in several components, with their roots (u, root)."""
     placed = settle(members.join(roots, members["fp"] == roots["u"], "left").select("key", "fp", "degree", F.coalesce("root", "fp").alias("root")), "placed")
     several = settle(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"), "several")
     rest = settle(placed.join(several, "key", "left_semi"), "open")
@@ -164,33 +182,36 @@ def links(docs: DataFrame, rows: DataFrame, vertices: DataFrame) -> DataFrame:
     sizes = settle(alike.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     degrees = settle(alike.join(sizes, "key").groupBy("fp").agg(F.sum("size").alias("degree")), "degrees")
     members = settle(alike.join(degrees, "fp"), "members")
-    known = settle(sets(docs, vertices, degrees.select("fp")), "sets")
-    found = tried = led = None
-    rest = members.withColumn("root", F.col("fp"))
+    tried = ranged(vertices)
+    wanted = degrees.select("fp").unionByName(tried.select(F.col("u").alias("fp"))).unionByName(tried.select(F.col("v").alias("fp"))).distinct()
+    known = settle(sets(docs, vertices, wanted), "sets")
+    roots, led = components(verified(tried, known)), None
+    rest = _open(members, roots)
+    sweep(spark)
     for _ in range(LEADERS):
         eligible = rest if led is None else rest.join(led, "fp", "left_anti")
         leaders = settle(eligible.groupBy("key").agg(F.max(F.struct("degree", "fp", "root")).alias("to")), "leaders")
         each = leaders.select("to.fp").distinct()
         led = settle(each if led is None else led.unionByName(each), "led")
         new = rest.join(leaders, "key").where("root <> to.root").select(*_pair("fp", "to.fp")).distinct()
-        new = settle(new if tried is None else new.join(tried, ["u", "v"], "left_anti"), "pairs")
-        near = settle(verified(new, known), "near")
-        found, tried = (near, new) if found is None else (found.unionByName(near), tried.unionByName(new))
-        rest = _open(members, found)
+        new = settle(new.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = tried.unionByName(new)
+        roots = components(_stars(roots).unionByName(verified(new, known)))
+        rest = _open(members, roots)
         sweep(spark)
     rest = settle(_possible(rest, known), "possible")
     side = lambda x: rest.select("key", *[F.col(c).alias(x + c) for c in ("fp", "root", "n", "alone", "room", "counts")])
     apart = F.col("xalone") + F.col("yalone") + manhattan("xcounts", "ycounts")  # at most what the sets differ in
     both = side("x").join(side("y"), "key").where("xfp > yfp AND xroot <> yroot AND xroom >= 4 * yn AND yroom >= 4 * xn").where(9 * apart <= F.col("xn") + F.col("yn"))
     new = settle(both.select(*_pair("xfp", "yfp")).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-    return found.unionByName(settle(verified(new, known), "near"))
+    return _stars(roots).unionByName(settle(verified(new, known), "near"))
 
 
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, th, fp, root (the component's least identity) and component_id of every row."""
     with scratch(docs.sparkSession) as keep:
         rows = settle(signatures(docs), "signatures")
-        vertices = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
+        vertices = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sim").alias("sim")), "vertices")
         found = named(vertices, components(links(docs, rows, vertices)))
         keep += [rows, found]
     sweep(docs.sparkSession)

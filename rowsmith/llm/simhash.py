@@ -85,9 +85,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
-    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)]
-    bits = np.unpackbits(np.array(h, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
+    return folded(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)], dtype=np.uint64))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed number; no hashes give 0."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -744,6 +744,29 @@ def test_pipeline_near_duplicates_by_jaccard(spark, near_rows):
     assert jaccard.representatives(docs.limit(0)).count() == 0
 
 
+def test_pipeline_candidates_by_the_range_join(spark, near_rows, monkeypatch):
+    """Without bands, near-duplicates are connected by operator 2's range join of the sets' fingerprints, and each link is verified."""
+    docs, signatures = spark.createDataFrame(near_rows, "doc_id long, text string").repartition(5), jaccard.signatures
+    monkeypatch.setattr(jaccard, "signatures", lambda docs: signatures(docs).withColumn("keys", F.array().cast("array<long>")))
+    shingles = {t: brute_shingles(t) for _, t in near_rows}
+    sims = {s: sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(b" ".join(x), 42) >> b & 1 for x in s) > len(s)) for s in shingles.values()}
+    names = {brute_shingles(t): jaccard.identity(jaccard.shingles(t)) for _, t in near_rows}
+    first = {}
+    for s in sorted(names, key=names.get):
+        first.setdefault(sims[s], s)
+    pairs = [(s, first[f]) for s, f in sims.items()] + [(first[f], first[g]) for f in first for g in first if (f ^ g).bit_count() <= 4]
+    near = [(names[a], names[b]) for a, b in pairs if 5 * len(a & b) >= 4 * len(a | b)]
+    root = groups(near, names.values())
+    least = {}
+    for d, t in near_rows:
+        if d is not None:
+            r = root[names[shingles[t]]]
+            least[r] = min(least.get(r, d), d)
+    want = collections.Counter((d, least.get(root[names[shingles[t]]])) for d, t in near_rows)
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == want
+    assert len(set(root.values())) < len(first) <= len(names)
+
+
 def test_counts_bound_the_difference(spark):
     rng = np.random.default_rng(4)
     pairs = []
