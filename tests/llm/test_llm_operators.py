@@ -316,6 +316,12 @@ def test_shared_folders(spark, tmp_path, monkeypatch):
     assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 4
 
 
+def test_settled_folders_hold_parts_only(spark):
+    """No mark of success: nothing reads it, and it costs helper processes of the driver."""
+    folder = os.path.dirname(settle(spark.range(3), "parts").inputFiles()[0].removeprefix("file://"))
+    assert all(re.match(r"\.?part-", f) for f in os.listdir(folder))
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 160)] + [(5, 5)]
