@@ -149,7 +149,8 @@ def links(fps: DataFrame, crowd: int = CROWD, blocks: int | None = None) -> Data
     within = manhattan(F.col("a.point"), F.col("b.point")) <= REACH
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= REACH
     once = _kept_here(F.col("a.grid"), F.col("a.point"), F.col("b.point"), grids)
-    pairs = a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & within & near & once).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    # never broadcast: Spark sizes the rows of an explode like its input, here 35 times and more too low
+    pairs = a.join(b.hint("merge"), same & (F.col("a.fp") < F.col("b.fp")) & within & near & once).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     return pairs.unionByName(meet) if meet is not None else pairs
 
 

@@ -869,3 +869,10 @@ def test_pipeline_end_to_end(spark, tables, rows):
         want[d] += len(whole(t or "")) + 1
     assert got == want
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_points_on_grids_are_never_broadcast(spark):
+    """Spark sizes a row for each grid like one row, so with its usual threshold 300,000 fingerprints were sent to the driver 35 times."""
+    fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
