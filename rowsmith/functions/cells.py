@@ -45,7 +45,7 @@ def to_number(s: Column) -> Column:
 def number_text(num: Column) -> Column:
     """Without padding zeros."""
     s = num.cast("string")
-    plain = F.when(F.instr(s, ".") > 0, F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    plain = F.when(F.instr(s, ".") > 0, F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
     return F.when(num == 0, F.lit("0")).otherwise(plain)
 
 
@@ -55,22 +55,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def recovered(num: Column) -> Column:
-    """Fractions of more than 15 significant digits rounded to 15, half away from zero; integers as they are."""
-
-    def rounded(s: Column) -> Column:  # s: the number's text without sign and padding zeros
-        places = F.length(F.substring_index(s, ".", -1))
-        digits = F.ltrim(F.replace(s, F.lit("."), F.lit("")), F.lit("0"))
-        drop = F.least(F.length(digits) - SIGNIFICANT, places)
-        left = F.left(digits, F.length(digits) - drop)
-        up = F.when(F.substr(digits, F.length(digits) - drop + 1, F.lit(1)) >= "5", 1).otherwise(0)
-        whole = F.when(left == "", F.lit("0")).otherwise(left).try_cast("decimal(38,0)") + up
-        tail = places - drop
-        padded = F.lpad(whole.cast("string"), F.greatest(F.length(whole.cast("string")), tail + 1), F.lit("0"))
-        text = F.concat(F.left(padded, F.length(padded) - tail), F.lit("."), F.right(padded, tail))
-        return F.when((F.instr(s, ".") > 0) & (F.length(digits) > SIGNIFICANT), text.try_cast(NUM))
-
-    good = let(F.replace(number_text(num), F.lit("-"), F.lit("")), rounded)
-    return F.when(num < 0, F.coalesce(-good, num)).otherwise(F.coalesce(good, num))
+    """Fractions of more than 15 significant digits rounded to 15, half away from zero; integers as they are.
+
+    The places to keep follow from the power of ten below the number, so this is one rounding of a decimal and no text is made.
+    """
+    size = F.abs(num)
+    good = F.when(size < F.lit("0.001").cast(NUM), num)  # its 18 places hold no more than 15 digits
+    for power in range(-2, SIGNIFICANT):
+        good = good.when(size < F.lit(f"1e{power}").cast(NUM), F.round(num, SIGNIFICANT - power).try_cast(NUM))
+    return F.coalesce(good.otherwise(F.round(num, 0).try_cast(NUM)), num)
 
 
 def from_serial(serial: Column, date1904: bool = False) -> Column:

@@ -79,3 +79,14 @@ def test_room_before_the_point_is_judged_with_the_digits_after_it(spark):
     df = df.select(*[apply(F.col(f"x{i}"), Transform(), "numeric").alias(f"p{i}") for i in range(len(cases))])
     got = df.select(*[coerce(F.col(f"p{i}"), Column("n", "numeric", precision=p, scale=s), Options())["code"].alias(f"v{i}") for i, (p, s, _, _) in enumerate(cases)]).first()
     assert [code or "" for code in got] == [code for *_, code in cases]
+
+
+def test_recovering_a_number_is_compiled(spark):
+    """One rounding, without lambdas, which Spark interprets row by row; the edges of each power of ten are kept."""
+    cases = {
+        "0.0009999999999999": "0.000999999999999900", "0.001000000000000005": "0.001000000000000010", "0.099999999999999999": "0.100000000000000000", "-2.5000000000000005": "-2.500000000000000000",
+        "-2.500000000000005": "-2.500000000000010000", "999999999999999.5": "1000000000000000.000000000000000000", "12345678901234567890.4": "12345678901234567890.000000000000000000", "99999999999999999999.9": "99999999999999999999.900000000000000000",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", cells.recovered(F.col("s").cast(cells.NUM)).alias("n"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["s"]: f"{r['n']:.18f}" for r in df.collect()} == cases
