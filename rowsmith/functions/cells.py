@@ -101,6 +101,15 @@ def assembled(raw: Column, norm: Column, cut: Column, num: Column, good: Column,
     )
 
 
+def as_text(s: Column) -> Column:
+    """The cell of a text that is one already, as it stands: only null is blank, and nothing is read as a number, date or error."""
+    none = F.lit(None)
+    return F.struct(
+        F.when(s.isNull(), EMPTY).otherwise(STRING).alias("kind"), s.alias("str"), none.cast(NUM).alias("num"), none.cast("boolean").alias("bool"),
+        none.cast("timestamp_ntz").alias("ts"), F.coalesce(s, F.lit("")).alias("raw"),
+    )
+
+
 def text_of(cell: Column) -> Column:
     """What a cell says as text."""
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsmith.functions import text as T
-from rowsmith.functions.cells import SIGNIFICANT, DATE, EMPTY, ERROR, assembled, recovered, shown, to_number
+from rowsmith.functions.cells import SIGNIFICANT, DATE, EMPTY, ERROR, as_text, assembled, recovered, shown, to_number
 from rowsmith.operators import keys
 from rowsmith.operators.checks import Check, compile_checks
 from rowsmith.operators.coerce import Options, coerce, enum_hint, key_of, reading
@@ -31,6 +31,7 @@ class Sheet:
 
     dates: places read as dates; where the rows have a column d0, d1, ... too, only cells that it marks are.
     problems: what the source has to say of the sheet; validate() reports it.
+    texts: places whose values are texts as they stand, not raw text to be typed.
     """
 
     rows: DataFrame
@@ -39,6 +40,7 @@ class Sheet:
     date1904: bool = False
     name: str = "sheet"
     problems: tuple[Problem, ...] = ()
+    texts: frozenset[int] = frozenset()
 
     def marked(self, index: int) -> Column:
         if index not in self.dates:
@@ -126,7 +128,9 @@ def evaluation_steps(sheet: Sheet, plan: Plan, options: Options = Options()) ->
     """
     columns = list(enumerate(plan.columns))
     row = F.col("row_num")
-    first = [row, *[F.coalesce(F.col(f"c{c.mapping.index}").cast("string"), F.lit("")).alias(f"r_{i}") for i, c in columns], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in columns]]
+    raw = {i for i, c in columns if c.mapping.index not in sheet.texts}
+    said = lambda i, s: F.coalesce(s, F.lit("")) if i in raw else s
+    first = [row, *[said(i, F.col(f"c{c.mapping.index}").cast("string")).alias(f"r_{i}") for i, c in columns], *[sheet.marked(c.mapping.index).alias(f"m_{i}") for i, c in columns]]
     steps, present = [first], {"row_num": None} | {f"{k}_{i}": k for k in "rm" for i, _ in columns}
 
     def step(keep: list[str], name: str, make, only=None) -> None:
@@ -138,11 +142,12 @@ def evaluation_steps(sheet: Sheet, plan: Plan, options: Options = Options()) ->
         steps.append([*map(F.col, present), *[(settled if k else apart)(make(i, c)).alias(f"{name}_{i}") for k, (i, c) in enumerate(made)]])
         present |= {f"{name}_{i}": name for i, _ in made}
 
-    step(["r", "m"], "n", lambda i, c: T.normalize_invisible(F.col(f"r_{i}")))
-    step(["r", "m", "n"], "t", lambda i, c: T.trimmed(F.col(f"n_{i}")))
-    step(["r", "m", "n", "t"], "a", lambda i, c: to_number(F.col(f"t_{i}")))
-    step(["r", "m", "n", "t", "a"], "g", lambda i, c: F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")))
-    step([], "x", lambda i, c: assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904))
+    if raw:
+        step(["r", "m"], "n", lambda i, c: T.normalize_invisible(F.col(f"r_{i}")), raw)
+        step(["r", "m", "n"], "t", lambda i, c: T.trimmed(F.col(f"n_{i}")), raw)
+        step(["r", "m", "n", "t"], "a", lambda i, c: to_number(F.col(f"t_{i}")), raw)
+        step(["r", "m", "n", "t", "a"], "g", lambda i, c: F.when(F.length(f"t_{i}") > SIGNIFICANT, recovered(F.col(f"a_{i}"))).otherwise(F.col(f"a_{i}")), raw)
+    step([], "x", lambda i, c: assembled(*[F.col(f"{k}_{i}") for k in "rntagm"], sheet.date1904) if i in raw else as_text(F.col(f"r_{i}")))
     blank = reduce(lambda a, b: a & b, [F.col(f"x_{i}.kind") == EMPTY for i, _ in columns], F.lit(True))
     steps.append([row, blank.alias("blank"), *[F.col(f"x_{i}") for i, _ in columns]])
     present = {"row_num": None, "blank": None} | {f"x_{i}": "x" for i, _ in columns}

@@ -39,10 +39,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_column(df: DataFrame, row: str, raw: str, target: Target, t: Transform = TRIM, options: Options = Options()) -> DataFrame:
-    """row_num, code and value of a raw expression taken to a column."""
+def one_column(df: DataFrame, row: str, raw: str, target: Target, t: Transform = TRIM, options: Options = Options(), texts: bool = False) -> DataFrame:
+    """row_num, code and value of a raw expression taken to a column; texts: of one that is no sheet's cell but a text as it stands."""
     plan = model.Plan(Table("public", "t", (target,)), (PlanColumn(target, Mapping("raw", 0, target.name, t)),))
-    sheet = from_frame(df.select(F.expr(row).alias("row"), F.expr(raw).alias("raw")), F.col("row"), ["raw"])
+    sheet = from_frame(df.select(F.expr(row).alias("row"), F.expr(raw).alias("raw")), F.col("row"), ["raw"], texts=texts)
     out = validate.evaluated(sheet, plan, options)
     return out.select("row_num", F.coalesce("v_0.code", F.lit("")).alias("code"), F.col("v_0.text").alias("value"))
 
@@ -180,7 +180,7 @@ def coerce_float(spark, sf_dir):
 
 @query("SELECT doc_id AS row_num, CASE WHEN length(text) > 500 THEN 'E203' ELSE '' END AS code, CASE WHEN length(text) <= 500 THEN text END AS value FROM documents")
 def coerce_text_length(spark, sf_dir):
-    return one_column(read(spark, sf_dir, "documents"), "doc_id", "text", Target("text", "varchar", max_length=500), Transform())
+    return one_column(read(spark, sf_dir, "documents"), "doc_id", "text", Target("text", "varchar", max_length=500), Transform(), texts=True)
 
 
 @query("SELECT c_custkey AS row_num, CASE WHEN c_custkey % 10 = 0 THEN 'E206' WHEN upper(c_mktsegment) NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') THEN 'E206' ELSE '' END AS code, CASE WHEN c_custkey % 10 <> 0 AND upper(c_mktsegment) IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') THEN upper(c_mktsegment) END AS value FROM customer")
@@ -198,7 +198,7 @@ def coerce_uuid(spark, sf_dir):
 @query("SELECT event_id AS row_num, CASE WHEN event_id % 4 = 0 THEN 'E208' ELSE '' END AS code, CASE WHEN event_id % 4 <> 0 THEN props END AS value FROM events")
 def coerce_json(spark, sf_dir):
     raw = "CASE WHEN event_id % 4 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END"
-    return one_column(read(spark, sf_dir, "events"), "event_id", raw, Target("props", "json"), Transform())
+    return one_column(read(spark, sf_dir, "events"), "event_id", raw, Target("props", "json"), Transform(), texts=True)
 
 
 @query("SELECT event_id AS row_num, '' AS code, '{\"a\": [1, 2.50], \"b\": ' || event_id || '}' AS value FROM events")

@@ -12,14 +12,18 @@ from rowsmith.plans.model import Problem
 from rowsmith.sources.xlsx import FORMULA_ROWS, Workbook, count_rows, formula_gaps, read_sheet, sampled_date_columns, typed_rows
 
 
-def from_frame(df: DataFrame, row_num: Column, columns: list[str] | None = None, name: str = "sheet") -> Sheet:
+def from_frame(df: DataFrame, row_num: Column, columns: list[str] | None = None, name: str = "sheet", texts: bool = False) -> Sheet:
     """Columns become raw text; row_num must be a stable number of each row, such as one from a key.
 
     Columns that no mapping uses are never read: each cell is a column of its own, so scans are pruned.
+
+    texts: string columns are taken as texts as they stand, where else they are typed as a spreadsheet's cells are.
     """
     names = columns or df.columns
-    raw = [(F.when(F.col(f"`{c}`"), "TRUE").otherwise("FALSE") if t == "boolean" else F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, (c, t) in enumerate((c, dict(df.dtypes)[c]) for c in names)]
-    return Sheet(df.select(row_num.cast("long").alias("row_num"), *raw), names, name=name)
+    types = dict(df.dtypes)
+    raw = [(F.when(F.col(f"`{c}`"), "TRUE").otherwise("FALSE") if t == "boolean" else F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, (c, t) in enumerate((c, types[c]) for c in names)]
+    plain = frozenset(i for i, c in enumerate(names) if texts and types[c] == "string")
+    return Sheet(df.select(row_num.cast("long").alias("row_num"), *raw), names, name=name, texts=plain)
 
 
 def from_workbook(spark, path: str, sheet: str = "", header_row: int | None = None, data_start: int | None = None, whole_columns: bool = False) -> Sheet:

@@ -418,3 +418,13 @@ def test_streams_against_a_target_and_first_keys(spark, tmp_path):
     q = first.writeStream.format("memory").queryName("first").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["email"] for r in spark.table("first").collect()) == ["a@x", "b@x"]
+
+
+def test_texts_beside_cells(spark):
+    """String columns of a frame opened with texts stand as they are; others, and those of a sheet, are typed."""
+    table = Table("public", "t", (Column("a", "text"), Column("n", "int4"), Column("b", "text", nullable=False)))
+    plan = model.build_plan([Mapping(c.name, i, c.name, Transform(trim=True) if c.name == "a" else Transform()) for i, c in enumerate(table.columns)], table)
+    df = spark.createDataFrame([(1, " #N/A ", 7, " "), (2, None, None, None), (3, "", None, "a\u200b")], "i long, a string, n int, b string")
+    row = lambda sheet: [(r["blank"], *[r[f"v_{i}"]["code"] or r[f"v_{i}"]["text"] for i in range(3)]) for r in validate.evaluated(sheet, plan).orderBy("row_num").collect()]
+    assert row(from_frame(df, F.col("i"), ["a", "n", "b"], texts=True)) == [(False, "#N/A", "7", " "), (True, None, None, "E202"), (False, "", None, "a\u200b")]
+    assert row(from_frame(df, F.col("i"), ["a", "n", "b"])) == [(False, "E210", "7", "E202"), (True, None, None, "E202"), (False, None, None, "a")]
